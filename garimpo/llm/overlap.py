@@ -206,3 +206,17 @@ def overlaps(sentences: DataFrame, splits: DataFrame, share: float = 0.85, min_w
     evals = members.where("is_eval").select(F.col("text").alias("eval"), F.col("id").alias("sentenca_id_b"))
     spread = links.join(evals, "eval").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return spread.join(trains, ["train", "s"]).select("sentenca_id_a", "sentenca_id_b", "coverage")
+
+
+def overlap_report(sentences: DataFrame, splits: DataFrame, share: float = 0.85, min_words: int = 24) -> DataFrame:
+    """(particao, origem, sentencas, sobrepostas, pares): evaluation sentences and their overlaps per split and source.
+
+    sentencas: of the split and source; sobrepostas: those with an overlap in treino;
+    pares: all their pairs. A null origem is a source of its own.
+    """
+    pairs = overlaps(sentences, splits, share, min_words).groupBy("sentenca_id_b").agg(F.count(F.lit(1)).alias("_n"))
+    evals = splits.select("sentenca_id", F.lower(F.trim("particao")).alias("particao"), "origem").where(F.col("particao").isin("dev", "teste")).distinct()
+    met = evals.join(pairs, F.col("sentenca_id") == F.col("sentenca_id_b"), "left")
+    return met.groupBy("particao", "origem").agg(
+        F.count(F.lit(1)).alias("sentencas"), F.count("_n").alias("sobrepostas"), F.coalesce(F.sum("_n"), F.lit(0)).alias("pares")
+    )
