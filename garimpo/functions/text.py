@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from garimpo.functions import patterns as P
 
 #: Stands for the full stop of an abbreviation while sentences are split; a private-use character, so no text holds it.
-_KEPT_STOP = ""
+_KEPT_STOP = "\ue000"
 
 
 def _rules(c: Column, rules: list[tuple[str, str]]) -> Column:

@@ -688,3 +688,73 @@ def q_dashboard(spark, d):
 @query("SELECT sessao_id, CASE WHEN nome IS NULL THEN '' ELSE regexp_replace(trim(regexp_replace(nome, '[^\\p{L}\\p{N}_\\s-]', '', 'g')), '\\s+', '_', 'g') || '_' END AS prefixo FROM sessao_anotacao")
 def q_slug(spark, d):
     return table(spark, d, "sessao_anotacao").select("sessao_id", T.slug(F.col("nome")).alias("prefixo"))
+
+
+# -- tables of experiments, imports, models ------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT sessao_id, count(*) AS k FROM sentenca GROUP BY 1) SELECT experimento_id, count(*) AS sessoes, sum(coalesce(k, 0))::BIGINT AS sentencas, epoch(max(criado_em))::BIGINT AS ultima,
+  string_agg(s.sessao_id::VARCHAR, ',' ORDER BY s.sessao_id) AS ids FROM sessao_anotacao s LEFT JOIN n USING (sessao_id) GROUP BY 1""")
+def q_experiment_detail(spark, d):
+    n = table(spark, d, "sentenca").groupBy("sessao_id").agg(F.count(F.lit(1)).alias("_k"))
+    s = table(spark, d, "sessao_anotacao").join(n, "sessao_id", "left")
+    return s.groupBy("experimento_id").agg(
+        F.count(F.lit(1)).alias("sessoes"), F.sum(F.coalesce("_k", F.lit(0))).alias("sentencas"), F.unix_timestamp(F.max("criado_em")).alias("ultima"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("sessao_id")), lambda x: x.cast("string")), ",").alias("ids"),
+    )
+
+
+@query(f"WITH p AS ({_BY_TYPE}), t AS (SELECT tipo AS modelo, f1, precision, recall, support FROM p) SELECT modelo, f1, precision, recall, support, row_number() OVER (ORDER BY f1 DESC NULLS LAST, modelo)::INT AS lugar FROM t")
+def q_comparison_table(spark, d):
+    from pyspark.sql import Window
+
+    t = metrics.entity_scores(*metrics.compared_spans(_grid(spark, d), "seqeval"), by_type=True)  # one row per type
+    return t.select(F.col("tipo").alias("modelo"), "f1", "precision", "recall", "support").withColumn("lugar", F.row_number().over(Window.orderBy(F.desc_nulls_last("f1"), "modelo")))
+
+
+@query(f"""WITH {S.ASCII_NOTES}, b AS (SELECT nr_registro, 'rua' AS bloco FROM an WHERE regexp_matches(t, '(?i)\\b(rua|avenida|cep)\\b') UNION ALL SELECT nr_registro, 'documento' FROM an WHERE regexp_matches(t, '(?i)\\b(rg|cns|cnh)\\b') UNION ALL SELECT nr_registro, 'qualquer' FROM an),
+  r AS (SELECT *, row_number() OVER (PARTITION BY bloco ORDER BY substr(md5('42|' || nr_registro), 1, 15), nr_registro) AS r FROM b) SELECT bloco, nr_registro FROM r WHERE r <= 200""")
+def q_extraction(spark, d):
+    a = _ascii(spark, d)
+    rules = {"rua": r"(?i)\b(rua|avenida|cep)\b", "documento": r"(?i)\b(rg|cns|cnh)\b"}
+    blocks = a.select("nr_registro", F.lit("qualquer").alias("bloco"))
+    for name, rx in rules.items():
+        blocks = blocks.unionByName(a.where(F.col("t").rlike(rx)).select("nr_registro", F.lit(name).alias("bloco")))
+    return sampling.sample_per_type(blocks, "bloco", "nr_registro", 200).select("bloco", "nr_registro")
+
+
+@query(f"""WITH {S.GOLD}, c AS (SELECT sentenca_id, posicao, token, label, regexp_full_match(token, '[0-9]{{3}}\\.[0-9]{{3}}\\.[0-9]{{3}}') AS hit FROM gold),
+  e AS (SELECT sentenca_id, posicao, 0 AS half, CASE WHEN hit THEN substr(token, 1, 3) ELSE token END AS token, label FROM c UNION ALL SELECT sentenca_id, posicao, 1, substr(token, 5), label FROM c WHERE hit)
+  SELECT sentenca_id, (row_number() OVER (PARTITION BY sentenca_id ORDER BY posicao, half) - 1)::INT AS posicao, token, label FROM e""")
+def q_split_tokens(spark, d):
+    g = _gold(spark, d).select("sentenca_id", "posicao", "token", "label")
+    cut = g.where(F.col("token").rlike(r"^[0-9]{3}\.[0-9]{3}\.[0-9]{3}$")).select(
+        "sentenca_id", "posicao", "token", F.substring("token", 1, 3).alias("prefixo"), F.col("label").alias("label1"), F.expr("substring(token, 5)").alias("sufixo"), F.col("label").alias("label2")
+    )
+    return remap.split_tokens(g, cut)
+
+
+@query()
+def q_import_spans(spark, d):
+    from garimpo.sources.files import import_spans
+
+    found = _gold_spans(spark, d)
+    s = table(spark, d, "sentenca").select("sentenca_id", F.array_join("tokens", " ").alias("text"), F.transform("tokens", lambda t: F.length(t)).alias("n"))
+    start = F.aggregate(F.slice("n", 1, F.col("inicio")), F.lit(0), lambda a, x: a + x + 1)
+    stop = F.aggregate(F.slice("n", 1, F.col("fim")), F.lit(0), lambda a, x: a + x + 1) - 1
+    each = found.join(s, "sentenca_id").select("sentenca_id", "text", F.array(start.cast("string"), stop.cast("string"), "tipo").alias("x"))
+    return import_spans(each.groupBy("sentenca_id", "text").agg(F.array_sort(F.collect_list("x")).alias("label")))
+
+
+def _labelled_sentences(spark, d) -> DataFrame:
+    g = _gold(spark, d).groupBy("sentenca_id").agg(F.array_sort(F.collect_list(F.struct("posicao", "token", "label"))).alias("x"))
+    return g.select("sentenca_id", F.transform("x", lambda x: x["token"]).alias("tokens"), F.transform("x", lambda x: x["label"]).alias("labels"))
+
+
+@query()
+def q_crf_predict(spark, d):
+    from garimpo.operators import crf
+
+    s = _labelled_sentences(spark, d)
+    model = crf.fit_crf(crf.training_sample(s, 400), epochs=6)
+    return s.select("sentenca_id", "tokens", anonymize.tagger_column(model.tag)("tokens").alias("labels"))
