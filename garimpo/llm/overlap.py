@@ -12,6 +12,7 @@ similarity always has such a combination in common (see combinations), so no pai
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections import defaultdict
@@ -20,8 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.functions.fold import strip_accents
@@ -38,20 +38,40 @@ def words_column(tokens):
     return F.filter(F.transform(F.filter(tokens, lambda t: t.isNotNull()), lambda t: F.lower(strip_accents(t))), lambda t: t.rlike(r"[\p{L}\p{N}]"))
 
 
-def combinations(ranked: list[int], share: float, long: int = LONG) -> Iterator[tuple[int, ...]]:
+@functools.cache
+def _places(prefix: int, l: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(prefix), l)), dtype=np.int64).reshape(-1, l)
+
+
+def combinations(ranked: np.ndarray, share: float, long: int = LONG) -> np.ndarray:
     """Keys of a record from its word occurrences, rarest first in one global order.
 
     Two texts above the similarity share all but spare_bound() of the word occurrences of
     either. Of the first spare_bound() + l occurrences of each, in one common order, at
     least l are then common to both, so all combinations of l among them are keys that
-    the pair must share one of. l is 3, or 2 for records of more than `long`
-    words, where triples get many; records near the border have keys of both kinds.
+    the pair must share one of. l is 3, or 2 for records of more than `long` words, where
+    triples get many; records near the border have keys of both kinds. Since the order is
+    common, a combination is numbered as it stands.
     """
     n = len(ranked)
-    if n <= long:
-        yield from itertools.combinations(ranked[: spare_bound(n, share) + 3], 3)
-    if n >= math.floor(share * (long + 1)):
-        yield from itertools.combinations(ranked[: spare_bound(n, share) + 2], 2)
+    keys = []
+    for l, wanted in ((3, n <= long), (2, n >= math.floor(share * (long + 1)))):
+        if wanted:
+            chosen = ranked[_places(min(n, spare_bound(n, share) + l), l)]
+            key = np.full(len(chosen), l, dtype=np.int64)
+            with np.errstate(over="ignore"):
+                for k in range(l):
+                    key = (key ^ chosen[:, k]) * np.int64(-7046029254386353131)
+                    key ^= key >> np.int64(29)
+            keys.append(key)
+    return np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.int64)
+
+
+def bits(ranked: np.ndarray) -> tuple[int, int]:
+    """128-bit sketch of the occurrences: bits that one text has and another lacks are a lower bound of what it lacks."""
+    at = (ranked >> np.int64(7)) & 127
+    low, high = (int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), (at[part] & 63).astype(np.uint64)), initial=np.uint64(0))) for part in (at < 64, at >= 64))
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (low, high))
 
 
 def spare_bound(n: int, share: float) -> int:
@@ -75,14 +95,16 @@ def common_in_order(a: list[int], b: list[int]) -> int:
 def _keys(share: float, long: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, evals, keys = [], [], []
-            for text, ev, ranked in zip(pdf["text"], pdf["is_eval"], pdf["ranked"]):
-                got = {xxhash.xxh64_intdigest(np.array(sorted(c), dtype=np.int64).tobytes()) - (1 << 63) for c in combinations(list(ranked), share, long)}
-                ids += [text] * len(got)
-                evals += [ev] * len(got)
-                keys += got
-            if ids:
-                yield pd.DataFrame({"text": ids, "is_eval": evals, "key": keys})
+            keys, sketches = [], []
+            for ranked in pdf["ranked"]:
+                r = np.asarray(ranked, dtype=np.int64)
+                keys.append(combinations(r, share, long))
+                sketches.append((*bits(r), len(r)))
+            times = [len(k) for k in keys]
+            low, high, n = (np.repeat(np.array(c, dtype=np.int64), times) for c in zip(*sketches))
+            yield pd.DataFrame(
+                {"text": np.repeat(pdf["text"].to_numpy(), times), "is_eval": np.repeat(pdf["is_eval"].to_numpy(), times), "key": np.concatenate(keys), "low": low, "high": high, "n": n.astype(np.int32)}
+            )
 
     return run
 
@@ -118,6 +140,10 @@ def scan_pairs(pairs: list[tuple[int, int]], evals: dict[int, list[int]], trains
         for e, mask in covered.items():
             target = evals[e]
             longer = max(len(words), len(target))
+            least = math.ceil(share * longer - 1e-9)
+            # Each of the at most len + len - 2 * least breaks leaves a stretch; stretches shorter than a passage are not covered.
+            if mask.bit_count() < least - (PASSAGE - 1) * (len(words) + len(target) - 2 * least):
+                continue
             if common_in_order(words, target) >= share * longer - 1e-9:
                 out.append((t, e, mask.bit_count() / len(target)))
     return out
@@ -159,14 +185,23 @@ def near_pairs(rows: DataFrame, share: float = 0.85, min_words: int = 24, long:
     freq = occ.groupBy("o").agg(F.count(F.lit(1)).alias("_f"))
     ranked = occ.join(freq, "o").groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "o"))), lambda x: x["o"]).alias("ranked"))
     sides = texts.select("text", F.explode(F.expr("array_distinct(array(_e = 1, _t = 1))")).alias("is_eval"))
-    keyed = ranked.join(sides, "text").mapInPandas(_keys(share, long), "text bigint, is_eval boolean, key bigint")
-    keyed = materialize(keyed.distinct(), "keys")
-    left = keyed.where("is_eval").select("key", F.col("text").alias("eval"))
-    right = keyed.where("not is_eval").select("key", F.col("text").alias("train"))
-    candidates = right.join(left, "key").where("train <> eval").select("train", "eval").distinct()
-    lengths = texts.select(F.col("text"), F.size("words").alias("_len"))
-    sized = candidates.join(lengths.withColumnsRenamed({"text": "train", "_len": "_lt"}), "train").join(lengths.withColumnsRenamed({"text": "eval", "_len": "_le"}), "eval")
-    near = sized.where(F.least("_lt", "_le") >= share * F.greatest("_lt", "_le")).select("train", "eval")
+    keyed = ranked.join(sides, "text").mapInPandas(_keys(share, long), "text bigint, is_eval boolean, key bigint, low bigint, high bigint, n int")
+    keyed = materialize(keyed, "keys")
+
+    def side(is_eval: bool, name: str, s: str) -> DataFrame:
+        own = keyed.where("is_eval" if is_eval else "not is_eval")
+        return own.select("key", F.col("text").alias(name), *[F.col(c).alias(f"{c}{s}") for c in ("low", "high", "n")])
+
+    # What the sketches and lengths show to be too far apart goes within the join.
+    left, right = side(True, "eval", "_e"), side(False, "train", "_t")
+    need = share * F.greatest("n_e", "n_t") - 1e-9
+
+    def most(x: str, y: str) -> Column:
+        lacks = [F.bit_count(F.col(f"{c}{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}{y}")))) for c in ("low", "high")]
+        return F.col(f"n{x}") - lacks[0] - lacks[1]
+
+    close = (F.least("n_e", "n_t") >= need) & (most("_e", "_t") >= need) & (most("_t", "_e") >= need)
+    near = right.join(left, "key").where((F.col("train") != F.col("eval")) & close).select("train", "eval").distinct()
     # A shard holds whole evaluation texts with the training texts that may match them.
     numbers = texts.select("text", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
     bodies = near.join(numbers.withColumnsRenamed({"text": "train", "words": "train_words"}), "train").join(numbers.withColumnsRenamed({"text": "eval", "words": "eval_words"}), "eval")
