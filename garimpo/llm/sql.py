@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from garimpo.llm.glyphs import LOOKALIKES
+
 _FOLD = "lower(strip_accents(trim({0})))"
 
 P1_FOUND = f"""
@@ -30,4 +32,14 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
-ORACLE_SQL: dict[str, str] = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p9_found": P9_FOUND}
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_THIN = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+P3_FOUND = f"""
+WITH t AS (SELECT nr_registro AS id, ds_evolucao AS x FROM prescricoes UNION ALL SELECT nr_registro, ds_parecer FROM pareceres),
+a AS (SELECT id, x, regexp_replace(regexp_replace(x, '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{AD}}\\x{{FE00}}-\\x{{FE0F}}\\x{{34F}}]', '', 'g'),
+  '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\t]', ' ', 'g') AS y FROM t WHERE x IS NOT NULL),
+c AS (SELECT id, x, nfc_normalize(translate(translate(replace(replace(y, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{_WIDE}', '{_THIN}'), '{"".join(LOOKALIKES)}', '{"".join(LOOKALIKES.values())}')) AS k FROM a)
+SELECT a.id AS nr_registro_a, b.id AS nr_registro_b FROM c a JOIN c b ON a.k = b.k AND a.id < b.id AND a.x <> b.x
+"""
+
+ORACLE_SQL: dict[str, str] = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p9_found": P9_FOUND}
