@@ -25,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/garimpo-{os.getpid()}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has written to the shared folder; results not yet read are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, hint: str = "t") -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
@@ -32,6 +42,6 @@ def materialize(df: DataFrame, hint: str = "t") -> DataFrame:
     the result survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/garimpo-{os.getpid()}/{hint}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{hint}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
