@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from garimpo.functions import patterns as P
 from garimpo.functions.fold import strip_accents
 
 OUTSIDE = "O"
+#: The closed set of labels in alphabetical order.
+LABELS = sorted([OUTSIDE, *[f"{p}-{t}" for t in P.ENTITY_TYPES for p in ("B", "I")]])
 KAPPA_GOAL = 0.80
 
 
@@ -24,46 +27,67 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def latest_annotations(annotations: DataFrame) -> DataFrame:
-    """One row per (sentenca_id, anotador_id, posicao) with its canonical label; rows whose last label is null are left out."""
-    marked = annotations.select(
-        "sentenca_id", "anotador_id", "posicao", "atualizado_em", "criado_em", F.coalesce(canonical_label(F.col("label")), F.lit("")).alias("label")
-    )
-    return latest_rows(marked, ["sentenca_id", "anotador_id", "posicao"], ["atualizado_em", "criado_em"]).where("label <> ''")
-
+    """One row per (sentenca_id, anotador_id, posicao) with its canonical label.
 
-def two_annotators(latest: DataFrame) -> DataFrame:
-    """(sentenca_id, anotador_id, ordem): the first two annotators of each sentence by ascending id."""
-    who = latest.select("sentenca_id", "anotador_id").distinct()
-    ranked = who.withColumn("ordem", F.row_number().over(Window.partitionBy("sentenca_id").orderBy("anotador_id")))
-    return ranked.where("ordem <= 2")
+    The row with the latest atualizado_em counts (null is earliest, ties go to the later
+    label of LABELS); keys whose last label is null or none of LABELS are left out. Time and
+    label are packed into one number, so the maximum is a hash aggregate with a map side.
+    """
+    names = F.array(*[F.lit(x) for x in LABELS])
+    code = F.coalesce(F.array_position(names, canonical_label(F.col("label"))), F.lit(0))
+    packed = F.coalesce(F.unix_micros("atualizado_em"), F.lit(-(1 << 57))) * 32 + code
+    last = annotations.select("sentenca_id", "anotador_id", "posicao", packed.alias("_p")).groupBy("sentenca_id", "anotador_id", "posicao").agg(F.max("_p").alias("_p"))
+    coded = last.select("sentenca_id", "anotador_id", "posicao", F.pmod("_p", F.lit(32)).cast("int").alias("_c")).where("_c > 0")
+    return coded.select("sentenca_id", "anotador_id", "posicao", F.element_at(names, F.col("_c")).alias("label"))
 
 
 def token_grid(sentences: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Every token of every annotated sentence with the labels of its first two annotators; missing labels are outside."""
-    latest = latest_annotations(annotations)
-    chosen = latest.join(two_annotators(latest), ["sentenca_id", "anotador_id"])
-    wide = chosen.groupBy("sentenca_id", "posicao").agg(*[F.max(F.when(F.col("ordem") == k, F.col("label"))).alias(f"a{k}") for k in (1, 2)])
-    annotated = sentences.join(latest.select("sentenca_id").distinct(), "sentenca_id", "left_semi")
-    grid = annotated.select("sentenca_id", "sessao_id", F.posexplode("tokens").alias("posicao", "token"))
-    return grid.join(wide, ["sentenca_id", "posicao"], "left").fillna(OUTSIDE, ["a1", "a2"])
+    """Every token of every annotated sentence with the labels of its first two annotators by id; missing labels are outside.
+
+    The labels of a sentence (its tokens times its annotators) are gathered once and laid
+    beside its tokens, so annotations are read once and joined by sentence, not by token.
+    """
+    given = latest_annotations(annotations).groupBy("sentenca_id").agg(F.collect_list(F.struct("anotador_id", "posicao", "label")).alias("_v"))
+    who = F.array_sort(F.array_distinct(F.transform("_v", lambda x: x["anotador_id"])))
+    named = given.withColumn("_w", who)
+
+    def labels_of(k: int) -> Column:
+        mine = F.filter("_v", lambda x: x["anotador_id"] == F.get(F.col("_w"), F.lit(k)))
+        return F.map_from_entries(F.transform(mine, lambda x: F.struct(x["posicao"], x["label"])))
+
+    maps = named.select(F.col("sentenca_id").alias("_s"), labels_of(0).alias("_m1"), labels_of(1).alias("_m2"))
+    joined = sentences.select("sentenca_id", "sessao_id", "tokens").join(maps, F.col("sentenca_id") == F.col("_s"))
+
+    def cell(t: Column, i: Column) -> Column:
+        a1, a2 = (F.coalesce(F.try_element_at(m, i), F.lit(OUTSIDE)) for m in ("_m1", "_m2"))
+        return F.struct(i.alias("posicao"), t.alias("token"), a1.alias("a1"), a2.alias("a2"))
+
+    cells = joined.select("sentenca_id", "sessao_id", F.explode(F.transform("tokens", cell)).alias("_c"))
+    return cells.select("sentenca_id", "sessao_id", "_c.posicao", "_c.token", "_c.a1", "_c.a2")
 
 
 def kappa(grid: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Cohen's kappa of a1 and a2 from one confusion count: tokens, concordancias, po, pe, kappa, meta_atingida.
 
     kappa is 1 if chance alone explains everything, null without tokens; the goal is
-    judged before rounding to 4 places.
+    judged before rounding to 4 places. The confusion matrix of a group has at most as
+    many cells as pairs of labels and is gathered into one row.
     """
     by = by or []
-    counts = grid.groupBy(*by, "a1", "a2").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("a1") == F.col("a2"), F.col("n")).otherwise(0)).alias("concordancias"))
-    left = counts.groupBy(*by, F.col("a1").alias("label")).agg(F.sum("n").alias("n1"))
-    right = counts.groupBy(*by, F.col("a2").alias("label")).agg(F.sum("n").alias("n2"))
-    met = left.join(right, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("n1").cast("double") * F.col("n2")).alias("_met"))
-    joined = total.join(met, by, "left") if by else total.crossJoin(met)
-    po, pe = F.col("concordancias") / F.col("tokens"), F.coalesce("_met", F.lit(0.0)) / (F.col("tokens").cast("double") * F.col("tokens"))
+    counts = grid.groupBy(*by, "a1", "a2").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = counts.groupBy(*by).agg(F.collect_list(F.struct("a1", "a2", "n")).alias("_m"), F.sum("n").alias("_n")).where("_n > 0")
+
+    def total(condition) -> Column:
+        return F.aggregate(F.filter("_m", condition), F.lit(0.0), lambda s, x: s + x["n"])
+
+    met = F.aggregate("_m", F.lit(0.0), lambda s, x: s + x["n"] * total(lambda y: y["a2"] == x["a1"]))
+    shares = cells.select(*by, "_n", total(lambda x: x["a1"] == x["a2"]).alias("_c"), met.alias("_e"))
+    po, pe = F.col("_c") / F.col("_n"), F.col("_e") / (F.col("_n") * F.col("_n"))
     value = F.when(pe >= 1, F.lit(1.0)).otherwise((po - pe) / (1 - pe))
-    return joined.select(*by, "tokens", "concordancias", F.round(po, 4).alias("po"), F.round(pe, 4).alias("pe"), F.round(value, 4).alias("kappa"), (value >= KAPPA_GOAL).alias("meta_atingida"))
+    return shares.select(
+        *by, F.col("_n").cast("bigint").alias("tokens"), F.col("_c").cast("bigint").alias("concordancias"), F.round(po, 4).alias("po"), F.round(pe, 4).alias("pe"),
+        F.round(value, 4).alias("kappa"), (value >= KAPPA_GOAL).alias("meta_atingida"),
+    )
 
 
 def kappa_band(k: Column) -> Column:
