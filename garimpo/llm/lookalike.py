@@ -69,18 +69,18 @@ def same_look_pairs(texts: DataFrame) -> DataFrame:
     the odd members of a class meet all its members, spread over SALTS tasks. Texts are
     compared by 128-bit hashes; no text is shuffled.
     """
-    raw = texts.select(F.col("id").cast("bigint").alias("id"), "text").where("text is not null")
-    forms = consistent_forms(texts)
 
     def twin(c: str) -> list[Column]:
         return [F.xxhash64(c), F.xxhash64(F.lit(7), c)]
 
-    k1, k2 = twin("form")
     r1, r2 = twin("text")
-    odd_forms = materialize(forms.where("odd").select("id", k1.alias("k1"), k2.alias("k2")), "forms")
-    odd = odd_forms.join(raw.where(F.col("text").rlike(glyphs.ODD)).select("id", r1.alias("r1"), r2.alias("r2")), "id")
-    odd = materialize(odd.select(F.lit(True).alias("odd"), "id", "k1", "k2", "r1", "r2").distinct(), "oddkeys")
-    plain = raw.where(~F.col("text").rlike(glyphs.ODD)).select(F.lit(False).alias("odd"), "id", r1.alias("k1"), r2.alias("k2"), r1.alias("r1"), r2.alias("r2"))
+    k1, k2 = twin("form")
+    # One scan keeps the hashes of all texts; the texts themselves are read again only for repair and vocabulary.
+    hashed = texts.where("text is not null").select(F.col("id").cast("bigint").alias("id"), F.col("text").rlike(glyphs.ODD).alias("odd"), r1.alias("r1"), r2.alias("r2"))
+    hashed = materialize(hashed, "hashes")
+    forms = consistent_forms(texts).where("odd").select("id", k1.alias("k1"), k2.alias("k2"))
+    odd = materialize(forms.join(hashed.where("odd"), "id").select("odd", "id", "k1", "k2", "r1", "r2").distinct(), "oddkeys")
+    plain = hashed.where("not odd").select("odd", "id", F.col("r1").alias("k1"), F.col("r2").alias("k2"), "r1", "r2")
     classes = odd.select("k1", "k2").distinct()
     members = odd.unionByName(plain.join(classes, ["k1", "k2"], "left_semi")).withColumn("s", F.pmod(F.col("id"), F.lit(SALTS)).cast("int"))
     left = odd.select("k1", "k2", F.col("id").alias("_id"), F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
