@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -211,3 +212,47 @@ def slug(name: Column) -> Column:
 def local_float(c: Column) -> Column:
     """Number with a decimal comma; null for empty or unreadable text."""
     return F.nullif(F.trim(F.translate(c, ",", ".")), F.lit("")).try_cast("double")
+
+
+# Month names, with and without accents.
+_MONTHS = {m: i for i, ms in enumerate((("janeiro",), ("fevereiro",), ("marco", "março"), ("abril",), ("maio",), ("junho",), ("julho",), ("agosto",), ("setembro",), ("outubro",), ("novembro",), ("dezembro",)), 1) for m in ms}
+
+
+def iso_dates(text: str) -> str:
+    """Text with its dates as yyyy-MM-dd: numbers parted by / - \\ or . and dates with month names.
+
+    A slash date needs no plausible day; its numbers are swapped if a four-digit year
+    follows a second number above 12. The other forms need a day and a month, in either
+    order. Short years count from 2000. Dates already in ISO form stay.
+    """
+
+    def iso(day: int, month: int, year: str) -> str:
+        return f"{int(year) if len(year) == 4 else 2000 + int(year):04d}-{month:02d}-{day:02d}"
+
+    def numbers(m: re.Match) -> str:
+        if m["iso"]:
+            return m.group()
+        if m["name"]:
+            return iso(int(m["nd"]), _MONTHS[m["name"].lower()], m["ny"])
+        a, b, year = int(m["a"]), int(m["b"]), m["y"]
+        sign = m["sign"].strip()
+        if sign == "/":
+            return iso(b, a, year) if len(year) == 4 and b > 12 else iso(a, b, year)
+        if 1 <= a <= 31 and 1 <= b <= 12:
+            return iso(a, b, year)
+        return iso(b, a, year) if 1 <= b <= 31 and 1 <= a <= 12 else m.group()
+
+    return _ANY_DATE.sub(numbers, text)
+
+
+_ANY_DATE = re.compile(
+    r"(?P<iso>\b\d{4}-\d{2}-\d{2}\b)|\b(?P<a>\d{1,2})(?P<sign>\s*[/\-–\\]\s*|\.)(?P<b>\d{1,2})(?P=sign)(?P<y>\d{2,4})\b(?!\.\d)"
+    r"|\b(?P<nd>0?[1-9]|[12]\d|3[01])\s+de\s+(?P<name>" + "|".join(_MONTHS) + r")\s+de\s+(?P<ny>\d{4})\b",
+    re.IGNORECASE,
+)
+
+
+@F.pandas_udf(StringType())
+def dates_to_iso(texts: pd.Series) -> pd.Series:
+    """iso_dates() of a column; masks do not need it, only outputs that keep dates."""
+    return texts.map(iso_dates, na_action="ignore")

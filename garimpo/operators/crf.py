@@ -170,3 +170,25 @@ def fits(count: Callable[[list[str]], int], words: list[str], limit: int, step:
     while len(words) > step and count(words) > limit:
         words = words[:-step]
     return words
+
+
+def save(model: Crf, spark, path: str) -> None:
+    """Weights as a Parquet table: (atributo, label, peso) for states, ('>' label, label, peso) for transitions."""
+    rows = [(f, x, float(model.state[i, k])) for f, i in model.index.items() for k, x in enumerate(model.labels)]
+    rows += [(f">{a}", b, float(model.move[i, j])) for i, a in enumerate(model.labels) for j, b in enumerate(model.labels)]
+    spark.createDataFrame(pd.DataFrame(rows, columns=["atributo", "label", "peso"])).write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> Crf:
+    table = spark.read.parquet(path).toPandas()
+    labels = sorted(table["label"].unique())
+    at = {x: k for k, x in enumerate(labels)}
+    moves = table[table["atributo"].isin({f">{x}" for x in labels})]
+    states = table[~table["atributo"].isin({f">{x}" for x in labels})]
+    index = {f: i for i, f in enumerate(dict.fromkeys(states["atributo"]))}
+    state, move = np.zeros((len(index), len(labels))), np.zeros((len(labels), len(labels)))
+    for f, x, w in states.itertuples(index=False):
+        state[index[f], at[x]] = w
+    for f, x, w in moves.itertuples(index=False):
+        move[at[f[1:]], at[x]] = w
+    return Crf(index, labels, state, move, [])

@@ -212,6 +212,11 @@ def q_normalize(spark, d):
     return _notes(spark, d).select("nr_registro", T.normalize(F.col("texto")).alias("texto"))
 
 
+@query()
+def q_iso_dates(spark, d):
+    return _notes(spark, d).where("texto is not null").select("nr_registro", T.dates_to_iso("texto").alias("texto"))
+
+
 @query()
 def q_corpus(spark, d):
     return corpus.note_tokens(_notes(spark, d)).select("nr_registro", "doc_type", "ordem", "tokens")

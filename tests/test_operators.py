@@ -200,3 +200,48 @@ def test_entry_points_without_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 80
+
+
+def test_crf_saved(spark, tmp_path):
+    model = crf.fit_crf([(["sr", "Ana"], ["O", "B-P"]), (["dor"], ["O"])] * 4, epochs=5)
+    crf.save(model, spark, f"{tmp_path}/crf")
+    assert crf.load(spark, f"{tmp_path}/crf").tag(["sr", "Eva"]) == model.tag(["sr", "Eva"])
+
+
+def test_store(spark, tmp_path):
+    from garimpo.sources import store
+
+    schema = "id int, nome string"
+    for rows_, gone in (([(1, "a"), (2, "b")], False), ([(1, "c")], False), ([(2, None)], True)):
+        store.append(spark.createDataFrame(rows_, schema), f"{tmp_path}/t", gone)
+    assert rows(store.current(spark, f"{tmp_path}/t", ["id"])) == [(1, "c")]
+    store.compact(spark, f"{tmp_path}/t", ["id"], f"{tmp_path}/u")
+    assert rows(store.current(spark, f"{tmp_path}/u", ["id"])) == [(1, "c")]
+
+
+def test_pipelines(spark, tmp_path):
+    from garimpo.plans import pipelines
+
+    d = "/root/testdata/sf0.001"
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    totals = pipelines.preprocess(t("prescricoes"), t("pareceres"), f"{tmp_path}/c", per_type=30, sample_to=40)
+    assert {r["doc_type"] for r in totals.collect()} == {"prescricao", "parecer"}
+    assert files.read_sentences(spark, f"{tmp_path}/c/amostra.jsonl").count() >= 40
+    gold = pipelines.gold_sentences(t("sentenca"), t("anotacao_token"), t("adjudicacao_token"))
+    parts, check = pipelines.split(gold, f"{tmp_path}/s")
+    assert parts.count() == gold.count() and files.read_conll(spark, f"{tmp_path}/s/train.conll").count() == parts.where("particao = 'treino'").count()
+    _, facts, scores = pipelines.train_and_evaluate(parts, epochs=3)
+    assert facts["iteracoes"] <= 3 and scores["tokens"].first()["f1_weighted"] > 0.5
+    texts = spark.createDataFrame([("CPF 123.456.789-00 ok",)], "texto string")
+    assert rows(pipelines.anonymise_corpus(texts, f"{tmp_path}/a")) == [("[DOCUMENTO]", 1)]
+    assert len(pipelines.explore(t("prescricoes"), t("pareceres"))) == 11
+    g = labels.gold(labels.token_grid(t("sentenca"), t("anotacao_token")), labels.adjudications(t("adjudicacao_token")))
+    assert all(x.count() >= 0 for x in pipelines.audit_all(g, t("sentenca")).values())
+
+
+def test_iso_dates():
+    from garimpo.functions.text import iso_dates
+
+    cases = {"01/02/2020": "2020-02-01", "13 / 07 / 22": "2022-07-13", "07/13/2022": "2022-07-13", "17 - 05 - 17": "2017-05-17", "24.10.2016": "2016-10-24", "17 DE MAIO DE 2016": "2016-05-17"}
+    cases |= {x: x for x in ("2020-02-01", "120 - 80 - 70", "21.9.7390.1882", "36.5")}
+    assert {k: iso_dates(k) for k in cases} == cases
