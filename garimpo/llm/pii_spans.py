@@ -212,13 +212,15 @@ def candidates(text: str, machine: ahocorasick.Automaton, names: frozenset[str],
                 continue
             cue = text[start : start + n]
         elif kind == "name" and start > done_until and start not in taken:
-            span, cue = person_span(text, start, names, False), "-"
+            span = person_span(text, start, names, False)
             if not span:
                 continue
+            # A name joined to the one before by "e" is announced with it.
+            cue = "e" if done_until >= 0 and text[done_until + 1 : start].strip() == "e" else "-"
         else:
             continue
         a, b, words = span
-        if cue != "-" and words[0] not in names and hits.get(a, ("", 0))[0] in ("cue", "street"):
+        if cue not in ("-", "e") and words[0] not in names and hits.get(a, ("", 0))[0] in ("cue", "street"):
             continue
         taken.add(a)
         if words[0] in names:

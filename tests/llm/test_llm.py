@@ -355,3 +355,20 @@ def test_queries_are_registered():
 
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 9, 10)} | {"p8_ids"} <= set(QUERIES) and set(ORACLE_SQL) <= set(QUERIES)
     assert glyphs.compat("ａ​") == "a"
+
+
+def test_pii_without_training(spark):
+    import pandas as pd
+
+    model = pii.fit(pd.DataFrame({"sentenca_id": [], "tokens": [], "marks": []}))
+    df = spark.createDataFrame([(1, "Dr. Fulano, CPF 123.456.789-00")], "id bigint, text string")
+    assert pii.find_pii(df, model).count() == 0
+    assert pii.redact_pii(df, model).first()["text"] == "Dr. Fulano, CPF 123.456.789-00"
+    one = pii.fit(pd.DataFrame({"sentenca_id": [1], "tokens": [["Dr", None, "Ana"]], "marks": [None]}))
+    assert pii.find_pii(df, one).count() >= 0
+
+
+def test_names_joined_by_e():
+    names = frozenset({"ana", "caio", "lima"})
+    found = pii_spans.candidates("visita de ana lima e caio, nega dor", pii_spans.build_machine(names), names, frozenset())
+    assert [(c.start, c.end, c.key[1]) for c in found if c.tipo == "PESSOA"] == [(10, 18, "visita"), (21, 25, "e")]
