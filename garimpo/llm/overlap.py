@@ -95,6 +95,8 @@ def common_in_order(a: list[int], b: list[int]) -> int:
 def _keys(share: float, long: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             keys, sketches = [], []
             for ranked in pdf["ranked"]:
                 r = np.asarray(ranked, dtype=np.int64)
@@ -212,7 +214,8 @@ def near_pairs(rows: DataFrame, share: float = 0.85, min_words: int = 24, long:
             pairs = list(zip(pdf["train"].tolist(), pdf["eval"].tolist()))
             evals = {e: list(w) for e, w in zip(pdf["eval"].tolist(), pdf["eval_words"])}
             trains = {t: list(w) for t, w in zip(pdf["train"].tolist(), pdf["train_words"])}
-            yield pd.DataFrame(scan_pairs(pairs, evals, trains, share), columns=["train", "eval", "coverage"])
+            if found := scan_pairs(pairs, evals, trains, share):
+                yield pd.DataFrame(found, columns=["train", "eval", "coverage"])
 
     found = sharded.mapInPandas(scan, "train bigint, eval bigint, coverage double")
     both = texts.where("_e = 1 and _t = 0").select(F.col("text").alias("train"), F.col("text").alias("eval"), F.lit(1.0).alias("coverage"))

@@ -231,7 +231,8 @@ def find_pii(notes: DataFrame, model: PiiModel) -> DataFrame:
                     ids.append(i)
                     types.append(tipo)
                     order.append(seen[tipo])
-            yield pd.DataFrame({"id": ids, "tipo": types, "ordem": np.array(order, dtype=np.int32)})
+            if ids:
+                yield pd.DataFrame({"id": ids, "tipo": types, "ordem": np.array(order, dtype=np.int32)})
 
     rows = notes.select(F.col("id").cast("bigint").alias("id"), "text").where("text is not null and id is not null")
     return rows.mapInPandas(run, "id bigint, tipo string, ordem int")
