@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from garimpo.shared import materialize
 VOCABULARY_BOUND = 1_000_000
 #: Lists intersected after the rarest one before whole items are compared; windows have at least so many pairs more.
 FILTERS = 3
+#: Item words handed to every task of a search for near matches at once, and starts of such matches tried at once.
+ITEM_WORDS, STARTS = 1_000_000, 1 << 14
 
 _POSTINGS = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("term", pa.int64()), ("pair", pa.int64())])
 _INDEX = "run bigint, doc_id bigint, pos int, term bigint, pair bigint"
@@ -55,13 +58,13 @@ def _item_postings(items: DataFrame) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None, min_words: int, slop: int = 0) -> DataFrame:
+def build_index(docs: DataFrame, vocabulary: np.ndarray | None, min_words: int) -> DataFrame:
     """Stored postings (run, doc_id, pos, term, pair) of docs (doc_id, text).
 
     vocabulary: sorted numbers of the terms that queries use, or None for all. A run is a
-    stretch of one text in which terms of the vocabulary follow each other at distances
-    of at most slop + 1; only runs of min_words terms and more can hold a match of
-    min_words terms, all others are left out. Positions count all words of the text; pair
+    stretch of one text in which terms of the vocabulary follow each other directly; only
+    runs of min_words terms and more can hold a match of min_words terms, all others are
+    left out. Positions count all words of the text; pair
     is null where the next word is none of the vocabulary.
     """
 
@@ -69,7 +72,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None, min_words: int,
         first = TaskContext.get().partitionId() << 36
         known = None if vocabulary is None else set(vocabulary.tolist())
         number = WordNumbers(term_number if known is None else lambda w: n if (n := term_number(w)) in known else _OUT)
-        gap = array.array("q", [_OUT] * (slop + 1))
+        gap = array.array("q", [_OUT])
         for batch in batches:
             ids = np.array(batch.column(0).fill_null(0).to_pylist(), dtype=np.int64)
             flat, starts = array.array("q"), np.zeros(batch.num_rows, dtype=np.int64)
@@ -82,11 +85,11 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None, min_words: int,
             at = np.flatnonzero(terms != _OUT)
             if not len(at):
                 continue
-            name = np.cumsum(np.concatenate([[0], np.diff(at) > slop + 1]))
+            name = np.cumsum(np.concatenate([[0], np.diff(at) > 1]))
             at = at[np.bincount(name)[name] >= min_words]
             if not len(at):
                 continue
-            name = np.cumsum(np.concatenate([[0], np.diff(at) > slop + 1]))
+            name = np.cumsum(np.concatenate([[0], np.diff(at) > 1]))
             row = np.searchsorted(starts, at, side="right") - 1
             pairs = np.concatenate([pair_numbers(terms[at]), [0]])
             alone = np.concatenate([np.diff(at) > 1, [True]])
@@ -153,23 +156,142 @@ def phrase_matches(docs: DataFrame, items: DataFrame, min_words: int = 12) -> Da
     return found.where(F.col("words") >= min_words).select("doc_id", "item_id", (F.col("shift") + F.col("item_from")).alias("doc_from"), "item_from", "words")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, min_words: int = 12, slop: int = 2) -> DataFrame:
+def _numbered(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
+    """(doc_id, terms): the number of every word of docs (doc_id, text), _OUT for words outside vocabulary; texts without any word of it are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if vocabulary is None else set(vocabulary.tolist())
+        number = WordNumbers(term_number if known is None else lambda w: n if (n := term_number(w)) in known else _OUT)
+        for batch in batches:
+            ids, lists = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                terms = np.frombuffer(number(text), dtype=np.int64) if text else ()
+                if len(terms) and (terms != _OUT).any():
+                    ids.append(doc)
+                    lists.append(terms)
+            if ids:
+                ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists)))], names=["doc_id", "terms"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    return materialize(rows.mapInArrow(run, "doc_id bigint, terms array<bigint>"), "numbered")
+
+
+def _term_counts(numbered: DataFrame) -> DataFrame:
+    """(term, n): how often each known term occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = batch.column(0).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["term", "n"])
+
+    each = numbered.select("terms").mapInArrow(run, "term bigint, n bigint")
+    return each.where(F.col("term") != F.lit(_OUT)).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+class _Near:
+    """Items of one block as arrays, and the search for windows of them nearly in place.
+
+    Of a window of m terms at most m - min_words may be missing, so of any m - min_words + 1
+    of its terms one is in place: the rarest ones are the anchors. Where an anchor stands in
+    a text, the shift of the window is known up to slop, and each such shift is tried.
+    """
+
+    def __init__(self, items: dict[int, list[int]], counts: dict[int, int], min_words: int, slop: int):
+        self.min_words, self.slop, self.reach = min_words, slop, min_words + slop
+        self.vocabulary = np.unique(np.array([t for ts in items.values() for t in ts], dtype=np.int64))
+        rare = np.array([counts.get(t, 0) for t in self.vocabulary.tolist()], dtype=np.int64)
+        gap = np.full(self.reach, -2, dtype=np.int32)
+        parts, anchors, at = [gap], set(), len(gap)
+        owner = [np.full(len(gap), -1, dtype=np.int64)]
+        for item, terms in items.items():
+            ids = np.searchsorted(self.vocabulary, np.array(terms, dtype=np.int64)).astype(np.int32)
+            size = min(self.reach, len(ids))
+            if size < min_words:
+                continue
+            order = rare[ids]
+            for k in range(len(ids) - size + 1):
+                anchors.update((at + k + np.argsort(order[k : k + size], kind="stable")[: size - min_words + 1]).tolist())
+            parts += [ids, gap]
+            owner += [np.full(len(ids), item, dtype=np.int64), np.full(len(gap), -1, dtype=np.int64)]
+            at += len(ids) + len(gap)
+        self.flat, self.owner = np.concatenate(parts), np.concatenate(owner)
+        places = np.array(sorted(anchors), dtype=np.int64)
+        terms = self.flat[places] if len(places) else np.empty(0, np.int32)
+        self.places = places[np.argsort(terms, kind="stable")]
+        self.many = np.bincount(terms, minlength=len(self.vocabulary))
+        self.first = np.cumsum(self.many) - self.many
+
+    def search(self, terms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and terms in place of every match in texts whose numbered words lie one after the other in terms."""
+        side = self.reach - 1 + 2 * self.slop
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        ids = np.where(self.vocabulary[at] == terms, at, -1).astype(np.int32)
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        place = np.arange(len(terms)) + side * (row + 1)
+        flat = np.full(len(terms) + side * len(ends), -1, dtype=np.int32)
+        flat[place] = ids
+        hit = np.flatnonzero((ids >= 0) & (self.many[ids] > 0))
+        found: list[tuple] = [(np.empty(0, np.int64),) * 3]
+        # Parts of bounded size, though a frequent term may be an anchor of many items.
+        total = np.cumsum(self.many[ids[hit]])
+        for low in range(0, int(total[-1]) if len(total) else 0, STARTS):
+            k = np.arange(low, min(low + STARTS, int(total[-1])))
+            h = np.searchsorted(total, k, side="right")
+            w = hit[h]
+            anchor = self.places[self.first[ids[w]] + k - (total[h] - self.many[ids[w]])]
+            ok, best = self._verify(flat, place[w], anchor)
+            found.append((row[w[ok]], self.owner[anchor[ok]], best))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _verify(self, flat: np.ndarray, pos: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which starts (place in the text, place of the anchor) belong to a match, and its greatest number of terms in place."""
+        r, s = self.reach, self.slop
+        wanted = self.flat[anchor[:, None] + np.arange(1 - r, r)]
+        there = flat[pos[:, None] + np.arange(1 - r - 2 * s, r + 2 * s)]
+        met = np.stack([wanted == there[:, e : e + 2 * r - 1] for e in range(4 * s + 1)])
+        ok = np.flatnonzero(met.any(axis=0).sum(axis=1) >= self.min_words)
+        met, best = met[:, ok], np.zeros(len(ok), dtype=np.int64)
+
+        def windowed(x: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(x, axis=1)], axis=1)
+            return sums[:, r:] - sums[:, :-r]
+
+        for shift in range(s, 3 * s + 1):
+            inside = windowed(met[shift - s : shift + s + 1].any(axis=0))
+            best = np.maximum(best, np.where(windowed(met[shift]) > 0, inside, 0).max(axis=1))
+        fine = best >= self.min_words
+        return ok[fine], best[fine]
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, min_words: int = 12, slop: int = 2, block: int = ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id, termos): documents that hold at least min_words terms of one window of an item nearly in place.
 
-    A window is min_words + slop terms of the item; a term is in place if its distance
-    from the window's anchor, its rarest pair of neighbours, differs by at most slop from
-    that in the item. Cases as in
+    A window is min_words + slop terms of the item, or all of a shorter one; a term is in
+    place if its distance from some term of the window that the document holds differs by at
+    most slop from that in the item; termos is the greatest number in place. The words of
+    all documents are numbered and stored once; the items are handed to every task in
+    blocks of about so many words, each with one pass over the stored numbers. Cases as in
     phrase_matches, whose documents are all among these.
     """
     item_terms = materialize(_item_postings(items), "items")
-    index = build_index(docs, _vocabulary(item_terms), min_words, slop)
-    anchors = _anchors(item_terms, index, min_words)
-    starts = index.join(anchors, "pair").select("run", "doc_id", "item_id", F.col("pos").alias("at"), "apos").distinct()
-    reach = min_words + slop
-    near = starts.join(item_terms.select("item_id", "ipos", "term"), "item_id").where(F.abs(F.col("ipos") - F.col("apos")) < reach)
-    shifted = near.withColumn("_d", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
-    placed = shifted.select("run", "doc_id", "item_id", "at", "apos", "ipos", "term", (F.col("at") + F.col("ipos") - F.col("apos") + F.col("_d")).alias("pos"))
-    met = placed.join(index.select("run", "pos", "term"), ["run", "pos", "term"]).select("run", "doc_id", "item_id", "at", "apos", "ipos").distinct()
-    span = Window.partitionBy("run", "doc_id", "item_id", "at", "apos").orderBy("ipos").rangeBetween(0, reach - 1)
-    counted = met.select("doc_id", "item_id", F.count(F.lit(1)).over(span).alias("_k")).where(F.col("_k") >= min_words)
-    return counted.groupBy("doc_id", "item_id").agg(F.max("_k").cast("int").alias("termos"))
+    numbered = _numbered(docs, _vocabulary(item_terms))
+    counts = materialize(_term_counts(numbered), "counts")
+    blocks = -(-max(1, item_terms.count()) // block)
+    found = []
+    for k in range(blocks):
+        mine = item_terms.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        listed = mine.groupBy("item_id", "ipos", "term").count().groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("ipos", "term")))["term"].alias("terms"))
+        often = counts.join(mine.select("term").distinct(), "term", "left_semi")
+        near = _Near({r["item_id"]: r["terms"] for r in listed.collect()}, dict(map(tuple, often.collect())), min_words, slop)
+
+        def run(batches: Iterator[pa.RecordBatch], near: _Near = near) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                terms = batch.column(1)
+                ids = batch.column(0).to_numpy()
+                if len(near.places) and batch.num_rows:
+                    row, item, best = near.search(terms.flatten().to_numpy(), terms.offsets.to_numpy() - terms.offsets[0].as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(item), pa.array(best.astype(np.int32))], names=["doc_id", "item_id", "termos"])
+
+        found.append(numbered.mapInArrow(run, "doc_id bigint, item_id bigint, termos int"))
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("termos").alias("termos"))

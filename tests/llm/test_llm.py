@@ -319,6 +319,41 @@ def test_leaks(spark):
     assert leak.phrase_matches(d.where("false"), t).count() == leak.phrase_matches(d, t.where("false")).count() == 0
 
 
+def plain_near(doc, item, min_words=12, slop=2):
+    """Most terms of a window of item that doc holds within slop of their places, counted from a term it holds."""
+    reach, best = min(min_words + slop, len(item)), 0
+    for k in range(len(item) - reach + 1):
+        for a in range(k, k + reach):
+            for p in (p for p, x in enumerate(doc) if x == item[a]):
+                best = max(best, sum(item[i] in doc[max(0, p + i - a - slop) : max(0, p + i - a + slop + 1)] for i in range(k, k + reach)))
+    return best
+
+
+@pytest.mark.parametrize("block", [1_000_000, 100])
+def test_near_passages_are_exact(spark, block):
+    random.seed(15)
+    vocab = [f"t{i}" for i in range(60)]
+    items = [(i, [random.choice(vocab) for _ in range(random.choice([11, 12, 13, 14, 15, 25, 40]))]) for i in range(20)]
+    docs = []
+    for i in range(120):
+        src = items[i % 20][1]
+        k = random.randint(0, max(0, len(src) - 14))
+        w = list(src[k : k + random.randint(12, 15)])
+        for _ in range(random.randint(0, 4)):
+            j = random.randrange(len(w))
+            random.choice([lambda: w.pop(j), lambda: w.insert(j, f"z{random.randint(0, 99)}"), lambda: w.__setitem__(j, f"z{random.randint(0, 99)}")])()
+        if i % 10 == 0:
+            w[2::4], w[3::4] = w[3::4][: len(w[2::4])] + w[2::4][len(w[3::4]) :], w[2::4][: len(w[3::4])]
+        docs.append((i, [random.choice(vocab + ["y"]) for _ in range(random.randint(0, 9))] + w + [random.choice(vocab) for _ in range(random.randint(0, 9))]))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs] + [(500, None), (501, ""), (None, " ".join(items[5][1]))], "doc_id bigint, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(98, None), (99, "")], "item_id bigint, texto string")
+    wanted = {(i, j): n for i, w in docs for j, x in items if len(x) >= 12 and (n := plain_near(w, x)) >= 12}
+    got = {(r["doc_id"], r["item_id"]): r["termos"] for r in leak.proximity_matches(d, t, block=block).collect()}
+    exact = {(r["doc_id"], r["item_id"]) for r in leak.phrase_matches(d, t).collect()}
+    assert got == wanted and exact < set(wanted) and len(set(wanted) - exact) > 20
+    assert leak.proximity_matches(d.where("false"), t).count() == leak.proximity_matches(d, t.where("false")).count() == 0
+
+
 # -- levels ------------------------------------------------------------------------------------------------
 
 
