@@ -63,21 +63,23 @@ def current_votes(annotations: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def vote_items(votes: DataFrame) -> DataFrame:
-    """One row per (sentenca_id, posicao) on which not all say background: its sorted votes and whether they differ.
+    """One row per voted (sentenca_id, posicao): its sorted votes, whether they differ and whether all say background (fundo).
 
     The votes of one token are as many as its annotators, a handful by design.
     """
     grouped = votes.groupBy("sentenca_id", "posicao").agg(
         F.array_sort(F.collect_list(F.struct("anotador_id", "label"))).alias("votes"), F.min("label").alias("_lo"), F.max("label").alias("_hi")
     )
-    return grouped.where(~((F.col("_lo") == BACKGROUND) & (F.col("_hi") == BACKGROUND))).select("sentenca_id", "posicao", "votes", (F.col("_lo") != F.col("_hi")).alias("differ"))
+    background = (F.col("_lo") == BACKGROUND) & (F.col("_hi") == BACKGROUND)
+    return grouped.select("sentenca_id", "posicao", "votes", (F.col("_lo") != F.col("_hi")).alias("differ"), background.alias("fundo"))
 
 
 def agreement_pairs(items: DataFrame) -> DataFrame:
     """(a, b, itens, iguais, acaso, acordo) for annotators a != b with common items, both orders.
 
     Items are first counted by their signature (the sorted votes), so that pairs are
-    formed once per distinct signature, not once per item. acordo is the agreement less
+    formed once per distinct signature, not once per item; the many items on which all say
+    background have one signature per group of annotators. acordo is the agreement less
     chance, (observed - chance) / (1 - chance), times itens / (itens + SHRINK).
     """
     signatures = items.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
@@ -194,25 +196,27 @@ def decided(adjudications: DataFrame) -> DataFrame:
 def consensus(annotations: DataFrame, sentences: DataFrame, adjudications: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labels, reliabilities and pair agreements.
 
-    labels: (sentenca_id, posicao, label, origem, differ) for every position on which not
-    all annotators say background; elsewhere the consensus is the background. origem is
-    'adjudicacao' where the adjudication decides, else 'consenso'. Cases: see
-    current_votes; ties of the calibrated votes go to the greater label; a single
+    labels: (sentenca_id, posicao, label, origem, differ) for every voted position. origem is
+    'adjudicacao' where the adjudication decides, else 'consenso'. Agreements, their chance
+    and the reliabilities count all voted positions; the votes are calibrated on those on
+    which not all annotators say background, elsewhere the consensus is the background.
+    Cases: see current_votes; ties of the calibrated votes go to the greater label; a single
     annotator's votes stand; empty tables give empty results; extra columns are ignored.
     """
-    items = materialize(vote_items(current_votes(annotations, sentences)), "items")
-    pairs = agreement_pairs(items)
+    voted = materialize(vote_items(current_votes(annotations, sentences)), "items")
+    items = voted.where("not fundo")
+    pairs = agreement_pairs(voted)
     weights = reliabilities(pairs)
     right = decided(adjudications)
     found = calibrated_consensus(items, weights, right)
     labels = (
-        items.select("sentenca_id", "posicao", "differ")
-        .join(found, ["sentenca_id", "posicao"])
+        voted.select("sentenca_id", "posicao", "differ")
+        .join(found, ["sentenca_id", "posicao"], "left")
         .join(right, ["sentenca_id", "posicao"], "left")
         .select(
             "sentenca_id",
             "posicao",
-            F.coalesce("_right", "label").alias("label"),
+            F.coalesce("_right", "label", F.lit(BACKGROUND)).alias("label"),
             F.when(F.col("_right").isNotNull(), "adjudicacao").otherwise("consenso").alias("origem"),
             "differ",
         )

@@ -37,6 +37,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[0].where("differ").select("sentenca_id", F.col("posicao").cast("int").alias("posicao"), "label")
 
 
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The final label of every voted position."""
+    return _consensus(spark, d)[0].select("sentenca_id", F.col("posicao").cast("int").alias("posicao"), "label", "origem")
+
+
 def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1]
 
@@ -109,7 +114,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_sample, p2_found, p2_reliability, p2_agreement, p3_found, p3_forms, p4_found, p4_split, p5_found, p5_report,
+        p1_found, p1_report, p1_sample, p2_found, p2_labels, p2_reliability, p2_agreement, p3_found, p3_forms, p4_found, p4_split, p5_found, p5_report,
         p6_found, p6_redacted, p8_ids, p9_found, p9_passages, p9_proximity, p10_found, p10_levels,
     )
 }

@@ -103,6 +103,23 @@ def test_consensus_empty(spark):
     assert labels.count() == weights.count() == pairs.count() == 0
 
 
+def test_agreement_counts_background(spark):
+    say = {1: ["O", "O", "O", "B-DATA"], 2: ["O", "O", "O", "B-HORA"], 3: ["O", "O"]}
+    votes = [(0, a, p, x) for a, xs in say.items() for p, x in enumerate(xs)] + [(1, a, p, "O") for a in (4, 5) for p in range(3)]
+    ann = spark.createDataFrame(votes, "sentenca_id bigint, anotador_id bigint, posicao int, label string").withColumns({c: F.timestamp_seconds(F.lit(1)) for c in ("criado_em", "atualizado_em")})
+    sent = spark.createDataFrame([(s, ["a", "b", "c", "d", "e"]) for s in range(2)], "sentenca_id bigint, tokens array<string>")
+    adj = spark.createDataFrame([(0, 0, "B-PESSOA"), (0, 3, "B-DATA"), (1, 4, "B-DATA")], "sentenca_id bigint, posicao int, label string").withColumn("criado_em", F.timestamp_seconds(F.lit(1)))
+    labels, weights, pairs = consensus.consensus(ann, sent, adj)
+    got = {(r["a"], r["b"]): r for r in pairs.collect() if r["a"] < r["b"]}
+    assert {k: (r["itens"], r["iguais"]) for k, r in got.items()} == {(1, 2): (4, 3), (1, 3): (2, 2), (2, 3): (2, 2), (4, 5): (3, 3)}
+    assert abs(got[1, 2]["acaso"] - 0.75 * 0.75) < 1e-9 and abs(got[1, 3]["acaso"] - 0.75) < 1e-9
+    assert {r["anotador_id"] for r in weights.collect()} == {1, 2, 3, 4, 5}
+    assert rows(labels.select("sentenca_id", "posicao", "label", "origem", "differ")) == [
+        (0, 0, "B-PESSOA", "adjudicacao", False), (0, 1, "O", "consenso", False), (0, 2, "O", "consenso", False), (0, 3, "B-DATA", "adjudicacao", True),
+        *[(1, p, "O", "consenso", False) for p in range(3)],
+    ]
+
+
 # -- look-alikes --------------------------------------------------------------------------------
 
 
