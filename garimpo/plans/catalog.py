@@ -761,5 +761,5 @@ def q_crf_predict(spark, d):
     from garimpo.operators import crf
 
     s = _labelled_sentences(spark, d)
-    model = crf.fit_crf(crf.training_sample(s, 400), epochs=6)
+    model = crf.fit_crf(crf.training_sample(s))
     return s.select("sentenca_id", "tokens", anonymize.tagger_column(model.tag)("tokens").alias("labels"))

@@ -245,3 +245,18 @@ def test_iso_dates():
     cases = {"01/02/2020": "2020-02-01", "13 / 07 / 22": "2022-07-13", "07/13/2022": "2022-07-13", "17 - 05 - 17": "2017-05-17", "24.10.2016": "2016-10-24", "17 DE MAIO DE 2016": "2016-05-17"}
     cases |= {x: x for x in ("2020-02-01", "120 - 80 - 70", "21.9.7390.1882", "36.5")}
     assert {k: iso_dates(k) for k in cases} == cases
+
+
+def test_crf_query_fits_on_the_whole_sample(spark, monkeypatch):
+    from garimpo.plans import catalog
+
+    d, seen = "/root/testdata/sf0.01", {}
+
+    def fit(sentences, epochs=12, **more):
+        seen.update(n=len(sentences), epochs=epochs)
+        return crf.Crf({}, ["O"], np.zeros((0, 1)), np.zeros((1, 1)), [])
+
+    monkeypatch.setattr(crf, "fit_crf", fit)
+    catalog.QUERIES["q_crf_predict"](spark, d)
+    annotated = catalog._labelled_sentences(spark, d).count()
+    assert 400 < annotated < crf.SENTENCES and seen == {"n": annotated, "epochs": 12}
