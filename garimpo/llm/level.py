@@ -152,21 +152,27 @@ def solve_levels(rows: int, row: np.ndarray, beta: np.ndarray, spread: np.ndarra
     return level
 
 
+def _parameters(batch: pa.RecordBatch, table: WordTable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words of a batch are known, and beta and spread of these; without a table they are in the batch, null where unknown."""
+    if table is None:
+        beta, spread = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("betas", "spreads"))
+        ok = ~np.isnan(beta)
+        return ok, beta[ok], spread[ok]
+    ok, at = table.find(_spread(batch)[0])
+    return ok, table.values["beta"][at[ok]], table.values["spread"][at[ok]]
+
+
 def _lookup(batch: pa.RecordBatch, table: WordTable | None):
     """Known words of a batch: words, rows, counts, beta, spread."""
     words, counts, row = _spread(batch)
-    if table is None:
-        beta = batch.column(batch.schema.get_field_index("betas")).flatten().to_numpy()
-        spread = batch.column(batch.schema.get_field_index("spreads")).flatten().to_numpy()
-        return words, row, counts, beta, spread
-    ok, at = table.find(words)
-    return words[ok], row[ok], counts[ok], table.values["beta"][at[ok]], table.values["spread"][at[ok]]
+    ok, beta, spread = _parameters(batch, table)
+    return words[ok], row[ok], counts[ok], beta, spread
 
 
 def _joined(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """docs with the parameters of their words joined instead of handed to every task."""
+    """docs with the parameters of their words joined instead of handed to every task; unknown words keep their place."""
     long = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "nivel", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    met = long.select("_row", "doc_id", "nivel", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).join(table, "word")
+    met = long.select("_row", "doc_id", "nivel", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).join(table, "word", "left")
     gathered = met.groupBy("_row", "doc_id", "nivel").agg(F.collect_list(F.struct("word", "n", "beta", "spread")).alias("x"))
     return gathered.select("doc_id", "nivel", F.col("x.word").alias("words"), F.col("x.n").alias("counts"), F.col("x.beta").alias("betas"), F.col("x.spread").alias("spreads"))
 
@@ -250,10 +256,8 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, bound: int = WORDS_BOUND
     links = _reduce(known, lambda b: _sums(_spread(b)[0], {"d": np.ones(len(_spread(b)[0]))}), ["d"]).where(F.col("d") >= MIN_DOCS)
     many = links.count() > bound
     for k in range(ALTERNATIONS):
-        if many:
-            reduced = _reduce(_joined(known, table), alternate(None), sums)
-        else:
-            reduced = _reduce(known, _with_new_words(WordTable(table.toPandas()), alternate), sums)
+        held = None if many else WordTable(table.toPandas())
+        reduced = _reduce(_joined(known, table) if many else known, _with_new_words(held, alternate), sums)
         table = materialize(_word_parameters(reduced), f"words{k + 1}")
     final = None if many else WordTable(table.toPandas())
 
@@ -294,18 +298,18 @@ def level_cuts(placed: DataFrame, levels: int = 4, bins: int = 400) -> list[floa
     return np.maximum.accumulate(cuts).tolist()
 
 
-def _with_new_words(table: WordTable, alternate):
+def _with_new_words(table: WordTable | None, alternate):
     """alternate() over known words; unknown ones get the level of their documents without taking part in it."""
     known = alternate(table)
 
     def per_batch(batch: pa.RecordBatch) -> pd.DataFrame:
         part = known(batch)
         words, counts, row = _spread(batch)
-        ok, at = table.find(words)
+        ok, beta, spread = _parameters(batch, table)
         if ok.all():
             return part
         prior = np.array([np.nan if x is None else x for x in batch.column(1).to_pylist()], dtype=float)
-        level = solve_levels(batch.num_rows, row[ok], table.values["beta"][at[ok]], table.values["spread"][at[ok]], np.sqrt(counts[ok]), prior)[row[~ok]]
+        level = solve_levels(batch.num_rows, row[ok], beta, spread, np.sqrt(counts[ok]), prior)[row[~ok]]
         fine = ~np.isnan(level)
         w, y = np.sqrt(counts[~ok])[fine], level[fine]
         return pd.concat([part, _sums(words[~ok][fine], {"d": np.ones(len(w)), "s0": w, "s1": w * y, "s2": w * y * y})]) if len(w) else part

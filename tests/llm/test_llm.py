@@ -398,6 +398,26 @@ def test_levels(spark, bound):
     assert all(x["nivel"] is None for x in level.reading_levels(d, r.where("false"), bound).collect())
 
 
+def test_levels_do_not_depend_on_bound(spark):
+    random.seed(16)
+    pools = {k: [f"nivel{'wxyz'[k - 1]}palavra{chr(97 + i)}" for i in range(12)] for k in range(1, 5)}
+    new = {k: [f"nova{'wxyz'[k - 1]}palavra{chr(97 + i)}" for i in range(12)] for k in range(1, 5)}
+    docs = []
+    for i in range(120):
+        k = i % 4 + 1
+        pool = pools[k] if i < 40 else pools[k][:3] + new[k] if i < 100 else new[k]  # only the first 40 are rated
+        docs.append((i, " ".join(random.choice(pool) for _ in range(40)), "pt"))
+    docs += [(i, "estranho sozinho", "pt") for i in range(200, 203)]  # linked with no rated document
+    docs += [(1000 + i, " ".join(random.choice(["the", "of", "and", "patient", "was", "given"]) for _ in range(30)), "en") for i in range(20)]
+    docs += [(1100 + i, " ".join(random.choice(["el", "los", "paciente", "con", "y", "una"]) for _ in range(30)), "es") for i in range(20)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    r = spark.createDataFrame([(i, 1, i % 4 + 1) for i in range(40)], "doc_id bigint, avaliador int, nivel int")
+    kept, joined = ({x["doc_id"]: (x["theta"], x["nivel"]) for x in level.reading_levels(d, r, bound).collect()} for bound in (2_000_000, 1))
+    assert set(kept) == set(joined) == {*range(120), *range(200, 203)} and kept[200] == joined[200] == (None, None)
+    assert all(abs(kept[i][0] - joined[i][0]) < 1e-6 and kept[i][1] == joined[i][1] for i in range(120))
+    assert np.mean([joined[i][1] == i % 4 + 1 for i in range(100, 120)]) > 0.9
+
+
 # -- registration --------------------------------------------------------------------------------------------
 
 
