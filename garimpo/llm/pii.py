@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from garimpo.llm import pii_spans
 from garimpo.llm.boosting import BoostedTrees
 from garimpo.llm.consensus import consensus
+from garimpo.shared import materialize
 
 #: Most annotated sentences that the classifier is fitted on (drawn by a hash of their id).
 SENTENCES = 8_000
@@ -145,21 +146,54 @@ def select(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str
     return sorted(kept)
 
 
-def training_sentences(sentences: DataFrame, annotations: DataFrame, adjudications: DataFrame, most: int = SENTENCES, seed: int = 42) -> pd.DataFrame:
-    """At most `most` annotated sentences (sentenca_id, tokens, marks) with the types of their tokens by consensus."""
+def annotated_sentences(sentences: DataFrame, annotations: DataFrame, adjudications: DataFrame) -> DataFrame:
+    """(sentenca_id, tokens, marks) of every annotated sentence with tokens; marks: the labels but O of its tokens by consensus of all annotations."""
     annotated = annotations.select("sentenca_id").distinct()
     chosen = sentences.where("size(tokens) > 0").select("sentenca_id", "tokens").join(annotated, "sentenca_id", "left_semi")
-    sample = chosen.orderBy(F.xxhash64(F.lit(seed), "sentenca_id"), "sentenca_id").limit(most).toPandas()
-    ids = sentences.sparkSession.createDataFrame(pd.DataFrame({"sentenca_id": sample["sentenca_id"].astype("int64")}), "sentenca_id bigint")
-    some = sentences.join(ids, "sentenca_id", "left_semi")
-    labels, _, _ = consensus(annotations.join(ids, "sentenca_id", "left_semi"), some, adjudications.join(ids, "sentenca_id", "left_semi"))
-    marks = labels.where("label <> 'O'").groupBy("sentenca_id").agg(F.collect_list(F.struct("posicao", "label")).alias("marks")).toPandas()
-    return sample.merge(marks, on="sentenca_id", how="left")
+    labels, _, _ = consensus(annotations, sentences, adjudications)
+    marks = labels.where("label <> 'O'").groupBy("sentenca_id").agg(F.collect_list(F.struct("posicao", "label")).alias("marks"))
+    return materialize(chosen.join(marks, "sentenca_id", "left"), "annotated")
+
+
+def word_counts(annotated: DataFrame) -> pd.DataFrame:
+    """(word, total, named): how often each word of annotated_sentences occurs, and how often as part of a person's name."""
+    persons = F.transform(F.filter(F.coalesce("marks", F.array()), lambda m: F.substring(m["label"], 3, 100) == "PESSOA"), lambda m: m["posicao"].cast("int"))
+    each = annotated.select(persons.alias("_p"), F.posexplode("tokens").alias("_i", "token"))
+    tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.array_contains("_p", F.col("_i"))).alias("named"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(word=[_name_word(t) for t in pdf["token"]])[["word", "total", "named"]]
+
+    folded = tokens.where("token is not null").mapInPandas(run, "word string, total bigint, named bigint").where("word is not null")
+    return folded.groupBy("word").agg(F.sum("total").alias("total"), F.sum("named").alias("named")).where("total >= 2").toPandas()
+
+
+def _sample(annotated: DataFrame, most: int, seed: int) -> pd.DataFrame:
+    return annotated.orderBy(F.xxhash64(F.lit(seed), "sentenca_id"), "sentenca_id").limit(most).toPandas()
+
+
+def training_sentences(sentences: DataFrame, annotations: DataFrame, adjudications: DataFrame, most: int = SENTENCES, seed: int = 42) -> pd.DataFrame:
+    """At most `most` annotated sentences (sentenca_id, tokens, marks) with the types of their tokens by consensus."""
+    return _sample(annotated_sentences(sentences, annotations, adjudications), most, seed)
+
+
+def train(sentences: DataFrame, annotations: DataFrame, adjudications: DataFrame, most: int = SENTENCES, seed: int = 42) -> PiiModel:
+    """Names and common words from all annotated sentences; encoders, trees and thresholds from at most `most` of them."""
+    annotated = annotated_sentences(sentences, annotations, adjudications)
+    return fit(_sample(annotated, most, seed), words=word_counts(annotated))
+
+
+def _name_word(token: str | None) -> str | None:
+    """The folded token if it may be a word of a name."""
+    w = pii_spans.fold_text(token or "")[0]
+    return w if len(w) > 2 and w.isalpha() and w not in pii_spans.LINKS else None
 
 
-def fit(training: pd.DataFrame, tau: float = 0.2) -> PiiModel:
+def fit(training: pd.DataFrame, tau: float = 0.2, words: pd.DataFrame | None = None) -> PiiModel:
     """Fit names, encoders and trees on sentences with marks.
 
+    words: word_counts of all annotated sentences; without it those of training are counted.
     A word is a known name word if at least two of its occurrences and a share tau of
     them are marked as a person's. A candidate is a case of a type if most of its tokens
     are marked so; for an address its first token decides.
@@ -171,15 +205,17 @@ def fit(training: pd.DataFrame, tau: float = 0.2) -> PiiModel:
         for i, t in enumerate(tokens):
             t = t or ""
             places.append((at, at + len(t), marked.get(i, "")))
-            w = pii_spans.fold_text(t)[0]
-            if len(w) > 2 and w.isalpha() and w not in pii_spans.LINKS:
+            if words is None and (w := _name_word(t)):
                 total[w] += 1
                 named[w] += marked.get(i) == "PESSOA"
             at += len(t) + 1
         texts.append(" ".join(t or "" for t in tokens))
         spans.append(places)
-    words = {*pii_spans.KIN, *pii_spans.TITLES, *pii_spans.STREETS, *pii_spans.PLACES}
-    names = frozenset(w for w, n in named.items() if n >= 2 and n >= tau * total[w] and w not in words)
+    if words is not None:
+        total = Counter(dict(zip(words["word"], words["total"].tolist())))
+        named = Counter(dict(zip(words["word"], words["named"].tolist())))
+    never = {*pii_spans.KIN, *pii_spans.TITLES, *pii_spans.STREETS, *pii_spans.PLACES}
+    names = frozenset(w for w, n in named.items() if n >= 2 and n >= tau * total[w] and w not in never)
     common = frozenset(w for w, n in total.items() if n >= 2 and not named[w])
     model = PiiModel(names, common, {})
     keys, truth, fold = defaultdict(list), defaultdict(list), defaultdict(list)

@@ -76,7 +76,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pii_model(spark: SparkSession, d: str) -> pii.PiiModel:
-    return pii.fit(pii.training_sentences(table(spark, d, "sentenca"), table(spark, d, "anotacao_token"), table(spark, d, "adjudicacao_token")))
+    return pii.train(table(spark, d, "sentenca"), table(spark, d, "anotacao_token"), table(spark, d, "adjudicacao_token"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

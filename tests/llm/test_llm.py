@@ -265,6 +265,14 @@ def test_redaction(spark, pii_model):
     assert pii.find_pii(df.where("false"), pii_model).count() == 0
 
 
+def test_names_come_from_all_sentences(spark):
+    d = DATA.replace("0.001", "0.01")
+    tables = [spark.read.parquet(f"{d}/{n}.parquet") for n in ("sentenca", "anotacao_token", "adjudicacao_token")]
+    whole, few, sample = pii.fit(pii.training_sentences(*tables)), pii.train(*tables, most=60), pii.training_sentences(*tables, most=60)
+    assert few.names == whole.names and few.common == whole.common
+    assert len(sample) == 60 and len(pii.fit(sample).names) < len(whole.names)
+
+
 def test_fold_keeps_places():
     for text in ("Ação Nº 5", "Ｐａｃ​iente não ﬁm", "Паz"):
         folded, where = pii_spans.fold_text(text)
