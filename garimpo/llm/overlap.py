@@ -246,6 +246,16 @@ def overlaps(sentences: DataFrame, splits: DataFrame, share: float = 0.85, min_w
     return spread.join(trains, ["train", "s"]).select("sentenca_id_a", "sentenca_id_b", "coverage")
 
 
+def overlap_pairs(sentences: DataFrame, splits: DataFrame, share: float = 0.85, min_words: int = 24) -> DataFrame:
+    """(sentenca_id_a, sentenca_id_b): the pairs of overlaps, each once, the smaller id first, whichever side is in treino.
+
+    A sentence that divisao puts in treino and in dev or teste at once forms no pair with itself.
+    """
+    ids = [F.col("sentenca_id_a"), F.col("sentenca_id_b")]
+    pairs = overlaps(sentences, splits, share, min_words).where(ids[0] != ids[1])
+    return pairs.select(F.least(*ids).alias("sentenca_id_a"), F.greatest(*ids).alias("sentenca_id_b")).distinct()
+
+
 def overlap_report(sentences: DataFrame, splits: DataFrame, share: float = 0.85, min_words: int = 24) -> DataFrame:
     """(particao, origem, sentencas, sobrepostas, pares): evaluation sentences and their overlaps per split and source.
 

@@ -68,7 +68,7 @@ def p4_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(table(spark, d, "sentenca"), table(spark, d, "divisao")).select("sentenca_id_a", "sentenca_id_b")
+    return overlap.overlap_pairs(table(spark, d, "sentenca"), table(spark, d, "divisao"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

@@ -224,6 +224,8 @@ def test_overlaps_are_exact(spark):
                 wanted.add((a, b))
     got = {(r[0], r[1]) for r in overlap.overlaps(s, d).collect()}
     assert got == wanted and len(wanted) > 20
+    ordered = [(r[0], r[1]) for r in overlap.overlap_pairs(s, d).collect()]
+    assert len(ordered) == len(wanted) and set(ordered) == {(min(p), max(p)) for p in wanted}
     report = overlap.overlap_report(s, d)
     assert report.agg(F.sum("pares")).first()[0] == len(wanted)
     assert overlap.overlaps(s.where("false"), d).count() == 0
