@@ -42,7 +42,7 @@ class _Shape(dict):
 SHAPE = _Shape()
 _FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯἀ-῿]")
 #: Letters with their accents; raised and lowered digits count as word characters for Python, but are no letters.
-_WORD = re.compile(r"(?:[^\W\d_²³¹⁰-₟¼-¾][̀-ͯ]*)+")
+WORD = re.compile(r"(?:[^\W\d_²³¹⁰-₟¼-¾][̀-ͯ]*)+")
 
 
 def compat(text: str) -> str:
@@ -82,7 +82,7 @@ def suspects(text: str) -> dict[str, str]:
     out = {}
     latin = foreign = 0
     whole = []
-    for m in _WORD.finditer(text):
+    for m in WORD.finditer(text):
         token = m.group()
         n = len(_FOREIGN.findall(token))
         k = sum(script(c) == "latin" for c in token) if n else len(token)
@@ -99,4 +99,4 @@ def suspects(text: str) -> dict[str, str]:
 
 def repair(text: str, confirmed: dict[str, str]) -> str:
     """compat() text with the confirmed tokens in Latin letters."""
-    return _WORD.sub(lambda m: confirmed.get(m.group(), m.group()), text)
+    return WORD.sub(lambda m: confirmed.get(m.group(), m.group()), text)
