@@ -8,6 +8,7 @@ more than one partition's edges, and the driver holds only counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,24 +101,32 @@ def assign_groups(sizes: list[tuple[int, int]], shares: dict[str, float]) -> dic
 
     Equal groups are interchangeable, so the greedy rule only needs the histogram, whose
     length is at most the square root of twice the rows. Each group goes to the split
-    furthest below its target; runs of equal groups are placed in blocks as long as the
-    rule would choose the same split.
+    furthest below its target (ties: the first by name). For equal groups that rule takes
+    the highest places of one falling staircase per split, so all whole steps above the
+    common level they end at are dealt at once and the few left over one by one: the
+    result is that of the plain loop for any number of groups.
     """
     total = sum(s * g for s, g in sizes)
     whole = sum(shares.values()) or 1.0
     left = {k: total * v / whole for k, v in shares.items()}
     out: dict[int, list[tuple[str, int]]] = {}
     for size, groups in sorted(sizes, reverse=True):
-        got = dict.fromkeys(shares, 0)
-        while groups:
-            order = sorted(left, key=lambda k: (-left[k], k))
-            best = order[0]
-            gap = left[best] - left[order[1]] if len(order) > 1 else float("inf")
-            take = groups if gap == float("inf") else min(groups, max(1, int(gap // max(size, 1))))
-            if groups > 10_000 and take == 1:  # level ground: deal whole rounds to all splits in proportion
-                take = max(1, groups // 1000)
-            got[best] += take
-            left[best] -= take * size
-            groups -= take
+        got = {k: max(0, math.floor((v - level(list(left.values()), size * groups)) / max(size, 1) - 1e-9)) for k, v in left.items()}
+        left = {k: v - got[k] * size for k, v in left.items()}
+        for _ in range(groups - sum(got.values())):
+            best = min(left, key=lambda k: (-left[k], k))
+            got[best] += 1
+            left[best] -= size
         out[size] = [(k, n) for k, n in got.items() if n]
     return out
+
+
+def level(heights: list[float], amount: float) -> float:
+    """The height down to which columns are cut if amount is taken off the highest."""
+    heights = sorted(heights, reverse=True)
+    cut, taken = heights[0], 0.0
+    for n, low in enumerate([*heights[1:], -math.inf], start=1):
+        if taken + n * (cut - low) >= amount:
+            return cut - (amount - taken) / n
+        taken, cut = taken + n * (cut - low), low
+    return cut

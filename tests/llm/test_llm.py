@@ -186,6 +186,33 @@ def test_linked_split(spark):
     assert linked_split.tied_patients(df.where("false")).count() == 0 and linked_split.linked_split(df.where("false")).count() == 0
 
 
+def test_groups_are_dealt_as_one_by_one():
+    def plainly(sizes, shares):
+        total, whole = sum(s * g for s, g in sizes), sum(shares.values())
+        left, out = {k: total * v / whole for k, v in shares.items()}, {}
+        for size, groups in sorted(sizes, reverse=True):
+            got = Counter()
+            for _ in range(groups):
+                best = min(left, key=lambda k: (-left[k], k))
+                got[best] += 1
+                left[best] -= size
+            out[size] = dict(got)
+        return out
+
+    random.seed(3)
+    cases = [([(3, 20_000), (1, 7)], linked_split.SHARES), ([(1, 25_003)], {"a": 1.0}), ([], linked_split.SHARES)]
+    cases += [([(s, random.randint(1, 60)) for s in random.sample(range(1, 90), 6)], {"a": 0.5, "b": 0.25, "c": 0.25}) for _ in range(80)]
+    for sizes, shares in cases:
+        assert {s: dict(x) for s, x in components.assign_groups(sizes, shares).items()} == plainly(sizes, shares)
+
+
+def test_sample_is_the_first_by_hash(spark):
+    df = spark.range(5000).withColumnRenamed("id", "sentenca_id")
+    wanted = [r[0] for r in df.orderBy(F.xxhash64(F.lit(42), "sentenca_id"), "sentenca_id").limit(700).collect()]
+    assert pii._sample(df, 700, 42)["sentenca_id"].tolist() == wanted
+    assert len(pii._sample(df, 8000, 42)) == 5000 and len(pii._sample(df.where("false"), 10, 42)) == 0
+
+
 # -- overlaps ----------------------------------------------------------------------------------------
 
 
