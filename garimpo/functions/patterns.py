@@ -7,8 +7,8 @@ word borders Unicode-aware.
 from __future__ import annotations
 
 # Letter classes of the glue rules.
-_UP = "[A-ZÁÉÍÓÚÀÈÌÒÙÃÕÂÊÎÔÛÇ]"
-_LOW = "[a-záéíóúàèìòùãõâêîôûç]"
+UPPER = "[A-ZÁÉÍÓÚÀÈÌÒÙÃÕÂÊÎÔÛÇ]"
+LOWER = "[a-záéíóúàèìòùãõâêîôûç]"
 _ANY = "[A-Za-zÀ-ÿ]"
 _DAY, _MONTH = "(?:0?[1-9]|[12]\\d|3[01])", "(?:0?[1-9]|1[0-2])"
 _MONTHS = "janeiro|fevereiro|marco|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
@@ -16,17 +16,17 @@ _DMY = "\\d{1,2}\\s*/\\s*\\d{1,2}\\s*/\\s*\\d{2,4}"
 
 # Fixed values: (pattern, replacement) of words that stick together.
 GLUE = [
-    (f"([A-Za-záéíóúàèìòùãõâêîôûç]+)(\\d+)({_UP}{{4,}})", "$1 $2 $3"),
-    (f"(\\d+)({_UP}{{4,}})", "$1 $2"),
-    (f"({_LOW}+)\\.({_UP}{{4,}})", "$1. $2"),
-    (f"({_UP}{{2,}})\\.({_UP}{{5,}})", "$1. $2"),
+    (f"([A-Za-záéíóúàèìòùãõâêîôûç]+)(\\d+)({UPPER}{{4,}})", "$1 $2 $3"),
+    (f"(\\d+)({UPPER}{{4,}})", "$1 $2"),
+    (f"({LOWER}+)\\.({UPPER}{{4,}})", "$1. $2"),
+    (f"({UPPER}{{2,}})\\.({UPPER}{{5,}})", "$1. $2"),
     ("_{3,}", " "),
-    (f"({_UP}+)(\\d{{1,2}})(\\s*/\\s*\\d{{1,2}}\\s*/\\s*\\d{{2,4}}\\b)", "$1 $2$3"),
-    (f"({_DMY})({_UP}+)", "$1 $2"),
-    (f"({_ANY}{{2,}})\\.({_UP}{_LOW}+)", "$1. $2"),
+    (f"({UPPER}+)(\\d{{1,2}})(\\s*/\\s*\\d{{1,2}}\\s*/\\s*\\d{{2,4}}\\b)", "$1 $2$3"),
+    (f"({_DMY})({UPPER}+)", "$1 $2"),
+    (f"({_ANY}{{2,}})\\.({UPPER}{LOWER}+)", "$1. $2"),
     (f"({_ANY}{{2,}}),(?={_ANY})", "$1, "),
     ("(\\d{1,2}\\s*/\\s*\\d{1,2}),(\\d{1,2}\\s*/\\s*\\d{1,2})", "$1, $2"),
-    (f"(\\d+)\\.({_UP}{{4,}})", "$1. $2"),
+    (f"(\\d+)\\.({UPPER}{{4,}})", "$1. $2"),
 ]
 
 # Dates, date with time first.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable
@@ -18,9 +19,18 @@ _KEPT_STOP = "\ue000"
 
 
 def _cheap_first(pattern: str) -> str:
-    """The same pattern with a long look-behind after the word border and a look at the digit, which fail at once nearly everywhere."""
-    head, mark, rest = pattern.partition("{0,9})\\b")
-    return rf"\b(?=\d){head}{{0,9}}){rest}" if mark and head.startswith("(?<!") else pattern
+    """The same pattern with a test of one character in front, which fails at once nearly everywhere, where a word border or look-behind would come first."""
+    flag, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    head, mark, after = rest.partition("{0,9})\\b")
+    if mark and head.startswith("(?<!"):
+        return rf"(?=\d)\b{head}{{0,9}}){after}"
+    if rest.startswith((r"\b\d", r"\b3", r"\b(?:0?[1-9]", r"\b(?:(?:0?[1-9]", r"(?<!\d)\d")):
+        return rf"{flag}(?=\d){rest}"
+    words = re.match(r"\(?(?:\\b|\(\?:)?(\w[\w|?\\.\[\]]*)", rest)
+    if flag and words:
+        firsts = "".join(sorted({w[0].lower() for w in words[1].split("|")}))
+        return f"{flag}(?=[{firsts}]){rest}"
+    return pattern
 
 
 def _rules(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -35,6 +45,23 @@ def _bound(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def _stepwise(c: Column, rules: list[tuple[str, str]], needs: list[tuple[int, str]]) -> Column:
+    """The rules one after the other; needs: (number of rules, what their matches hold) for runs of them, a sign or a cheap pattern.
+
+    A run whose sign or pattern the text lacks is skipped; "" never.
+    """
+
+    def unless_absent(need: str, mine: list[tuple[str, str]]) -> Callable[[Column], Column]:
+        return lambda v: F.when(F.contains(v, F.lit(need)) if len(need) == 1 else v.rlike(need), _rules(v, mine)).otherwise(v)
+
+    at = 0
+    for n, need in needs:
+        mine = rules[at : at + n]
+        at += n
+        c = _bound(c, unless_absent(need, mine)) if need else _rules(c, mine)
+    return _rules(c, rules[at:])
+
+
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -56,33 +83,37 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r"(?mdU)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")
 
 
+#: What a match of the glue rules holds; most texts lack most of it.
+_GLUE_NEEDS = [(2, rf"(?U)\d{P.UPPER}{{4}}"), (2, rf"\.{P.UPPER}{{4}}"), (1, "_"), (2, "/"), (1, rf"\.{P.UPPER}{P.LOWER}"), (1, ","), (1, r"(?U)\d,\d"), (1, rf"(?U)\d\.{P.UPPER}{{4}}")]
+
+
 def split_glued(c: Column) -> Column:
     """Words that stick together, apart."""
-    return _rules(c, P.GLUE)
+    return _stepwise(c, P.GLUE, _GLUE_NEEDS)
 
 
 def mask_dates(c: Column) -> Column:
-    return _rules(c, P.DATES)
+    return _stepwise(c, P.DATES, [(2, r"(?U)-\d\d-"), (2, "/"), (1, r"(?U)[-–]\s*\d{1,2}\s*[-–]"), (1, "\\"), (1, r"(?U)\.\d{1,2}\.\d"), (1, r"(?iU)de\s+\d{4}")])
 
 
 def mask_hours(c: Column) -> Column:
-    return _rules(c, P.HOURS)
+    return _stepwise(c, P.HOURS, [(5, r"(?U):\d"), (4, r"(?iU)\dh"), (1, "(?iU)às")])
 
 
 def mask_cpf(c: Column) -> Column:
-    return _rules(c, P.CPF)
+    return _stepwise(c, P.CPF, [(1, r"(?U)\.\d{3}\."), (1, r"(?U)\d{11}")])
 
 
 def mask_phones(c: Column) -> Column:
-    return _rules(c, P.PHONES)
+    return _stepwise(c, P.PHONES, [(1, r"(?U)\.\d+\s*-"), (4, "("), (1, r"(?U)9\s+\d{4}"), (2, r"(?U)-\s*\d{4}"), (2, r"(?U)\d{9}"), (1, r"(?U)\.\d{4}"), (2, r"(?U)\d{8}"), (1, r"(?U)-\s*\d{4}")])
 
 
 def mask_ceps(c: Column) -> Column:
-    return _rules(c, P.CEP)
+    return _stepwise(c, P.CEP, [(1, r"(?U)-\d{3}"), (1, r"(?U)\d{8}")])
 
 
 def mask_emails(c: Column) -> Column:
-    return _rules(c, P.EMAIL)
+    return _stepwise(c, P.EMAIL, [(1, "@")])
 
 
 def mask_all(c: Column) -> Column:
