@@ -138,12 +138,15 @@ def q_table1(spark, d):
     return profile.table_one(_notes(spark, d))
 
 
-# -- text rules, on the notes in plain letters ---------------------------------------------
+# -- text rules ---------------------------------------------------------------------------
 
+# DuckDB's patterns know no Unicode digits at word borders, so the 10 full-width digits, and nothing else, are given as plain ones on both sides.
+_WIDE, _PLAIN = "０１２３４５６７８９", "0123456789"
 
-def _ascii(spark, d) -> DataFrame:
-    t = F.regexp_replace(strip_accents(F.col("texto")), r"[^\x00-\x7F]", " ")
-    return _notes(spark, d).where("texto is not null").select("nr_registro", "doc_type", t.alias("t"))
+
+def _written(spark, d) -> DataFrame:
+    """The notes that are not null, as they are but for full-width digits."""
+    return _notes(spark, d).where("texto is not null").select("nr_registro", "doc_type", F.translate("texto", _WIDE, _PLAIN).alias("t"))
 
 
 _STEPS = {
@@ -157,19 +160,19 @@ _STEPS = {
     "q_mask_all": (S.MASKS, T.mask_all),
 }
 for _name, (_rules, _step) in _STEPS.items():
-    query(f"WITH {S.ASCII_NOTES} SELECT nr_registro, {S.rules('t', _rules)} AS texto FROM an", _name)(
-        lambda spark, d, step=_step: _ascii(spark, d).select("nr_registro", step(F.col("t")).alias("texto"))
+    query(f"WITH {S.WRITTEN_NOTES} SELECT nr_registro, {S.rules('t', _rules)} AS texto FROM an", _name)(
+        lambda spark, d, step=_step: _written(spark, d).select("nr_registro", step(F.col("t")).alias("texto"))
     )
 
 _DONE = S.rules(S.rules("t", P.GLUE), S.MASKS)
 
 
-@query(f"""WITH {S.ASCII_NOTES}, m AS (SELECT doc_type, unnest(regexp_extract_all({_DONE}, '__(?:DATA|HORA|TELEFONE|CPF|CEP|EMAIL)__')) AS marca FROM an)
+@query(f"""WITH {S.WRITTEN_NOTES}, m AS (SELECT doc_type, unnest(regexp_extract_all({_DONE}, '__(?:DATA|HORA|TELEFONE|CPF|CEP|EMAIL)__')) AS marca FROM an)
   SELECT doc_type, marca, count(*) AS vezes FROM m GROUP BY ALL""")
 def q_placeholder_counts(spark, d):
     masked = T.mask_all(T.split_glued(F.col("t")))
     found = F.regexp_extract_all(masked, F.lit("__(?:DATA|HORA|TELEFONE|CPF|CEP|EMAIL)__"), F.lit(0))
-    return _ascii(spark, d).select("doc_type", F.explode(found).alias("marca")).groupBy("doc_type", "marca").agg(F.count(F.lit(1)).alias("vezes"))
+    return _written(spark, d).select("doc_type", F.explode(found).alias("marca")).groupBy("doc_type", "marca").agg(F.count(F.lit(1)).alias("vezes"))
 
 
 @query(f"""WITH {S.NOTES} SELECT nr_registro, regexp_replace(regexp_replace(nfc_normalize(replace(coalesce(texto, ''), chr(9), ' ')), '[\\p{{Cc}}\\p{{Cf}}\\p{{Co}}--\\n]', '', 'g'), ' +', ' ', 'g') AS texto FROM notes""".replace("[\\p{Cc}\\p{Cf}\\p{Co}--\\n]", "[\\x00-\\x09\\x0B-\\x1F\\x7F-\\x{9F}\\p{Cf}\\p{Co}]"))
@@ -178,22 +181,22 @@ def q_clean(spark, d):
     return _notes(spark, d).select("nr_registro", c.alias("texto"))
 
 
-@query(f"WITH {S.ASCII_NOTES} SELECT nr_registro, regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '(?m)^[ \\t\\r\\f\\x0B]+|[ \\t\\r\\f\\x0B]+$', '', 'g') AS texto FROM an")
+@query(f"WITH {S.WRITTEN_NOTES} SELECT nr_registro, regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '(?m)^[{S.BLANKS_IN_LINE}]+|[{S.BLANKS_IN_LINE}]+$', '', 'g') AS texto FROM an")
 def q_spaces(spark, d):
-    return _ascii(spark, d).select("nr_registro", T.collapse_spaces(F.col("t")).alias("texto"))
+    return _written(spark, d).select("nr_registro", T.collapse_spaces(F.col("t")).alias("texto"))
 
 
 _ABBR = "|".join(P.ABBREVIATIONS)
 _KEPT = f"regexp_replace(t, '\\b({_ABBR})\\.', '\\1' || chr(2), 'g')"
-_SENT = f"""{S.ASCII_NOTES}, k AS (SELECT nr_registro, doc_type, {_KEPT} AS t, contains(t, '( X )') OR contains(t, '[ X ]') OR contains(t, '(X)') OR contains(t, '[X]') OR contains(t, 'SINAIS VITAIS:') AS templ FROM an),
-  p AS (SELECT nr_registro, doc_type, CASE WHEN templ THEN string_split(t, chr(10)) ELSE string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS parts FROM k),
-  s AS (SELECT nr_registro, doc_type, list_filter(list_transform(parts, lambda x: replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), chr(2), '.')), lambda x: x <> '' AND len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '')) >= 3) AS ss FROM p),
+_SENT = f"""{S.WRITTEN_NOTES}, k AS (SELECT nr_registro, doc_type, {_KEPT} AS t, contains(t, '( X )') OR contains(t, '[ X ]') OR contains(t, '(X)') OR contains(t, '[X]') OR contains(t, 'SINAIS VITAIS:') AS templ FROM an),
+  p AS (SELECT nr_registro, doc_type, CASE WHEN templ THEN string_split(t, chr(10)) ELSE string_split(regexp_replace(t, '([.!?])[{S.BLANKS}]+', '\\1' || chr(1), 'g'), chr(1)) END AS parts FROM k),
+  s AS (SELECT nr_registro, doc_type, list_filter(list_transform(parts, lambda x: replace(regexp_replace(x, '^[{S.BLANKS}]+|[{S.BLANKS}]+$', '', 'g'), chr(2), '.')), lambda x: x <> '' AND len(list_filter(string_split_regex(x, '[{S.BLANKS}]+'), lambda y: y <> '')) >= 3) AS ss FROM p),
   sent AS (SELECT nr_registro, doc_type, (unnest(range(len(ss))))::INT AS ordem, unnest(ss) AS sentenca FROM s)"""
 
 
 @query(f"WITH {_SENT} SELECT nr_registro, ordem, sentenca FROM sent")
 def q_sentences(spark, d):
-    return _ascii(spark, d).select("nr_registro", F.posexplode(T.sentences(F.col("t"))).alias("ordem", "sentenca"))
+    return _written(spark, d).select("nr_registro", F.posexplode(T.sentences(F.col("t"))).alias("ordem", "sentenca"))
 
 
 @query(f"WITH {_SENT} SELECT nr_registro, ordem, regexp_extract_all(sentenca, {S.quote(P.TOKEN)}) AS tokens FROM sent")
@@ -203,7 +206,7 @@ def q_tokens(spark, d):
 
 @query(f"""WITH {_SENT} SELECT doc_type, count(DISTINCT nr_registro) AS documentos, count(*) AS sentencas, sum(len(regexp_extract_all(sentenca, {S.quote(P.TOKEN)})))::BIGINT AS tokens FROM sent GROUP BY 1""")
 def q_corpus_totals(spark, d):
-    s = _ascii(spark, d).select("nr_registro", "doc_type", F.explode(T.sentences(F.col("t"))).alias("sentenca"))
+    s = _written(spark, d).select("nr_registro", "doc_type", F.explode(T.sentences(F.col("t"))).alias("sentenca"))
     return corpus.corpus_totals(s.withColumn("tokens", T.word_tokens(F.col("sentenca"))))
 
 
@@ -244,17 +247,17 @@ def q_pseudonym(spark, d):
 
 @query()
 def q_indel_distance(spark, d):
-    n = _ascii(spark, d).withColumn("m", T.mask_all(F.col("t")))
+    n = _written(spark, d).withColumn("m", T.mask_all(F.col("t")))
     return n.select("nr_registro", metrics.indel_distance("t", "m").alias("distancia"))
 
 
-@query(f"""WITH {S.ASCII_NOTES}, k AS (SELECT nr_registro, list_transform(regexp_extract_all({_DONE}, {S.quote(P.TOKEN)}), lambda x: CASE x {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.PLACEHOLDERS.items())} ELSE x END) AS w,
+@query(f"""WITH {S.WRITTEN_NOTES}, k AS (SELECT nr_registro, list_transform(regexp_extract_all({_DONE}, {S.quote(P.TOKEN)}), lambda x: CASE x {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.PLACEHOLDERS.items())} ELSE x END) AS w,
   len(list_filter(regexp_extract_all({_DONE}, {S.quote(P.TOKEN)}), lambda x: x IN ({", ".join(S.quote(k) for k in P.PLACEHOLDERS)}))) AS n FROM an)
   SELECT nr_registro, array_to_string(w, ' ') AS texto_anonimizado, n::INT AS n_phi_regex FROM k""")
 def q_anonymize_regex(spark, d):
     tok = T.word_tokens(T.mask_all(T.split_glued(F.col("t"))))
     holders = F.array(*[F.lit(p) for p in P.PLACEHOLDERS])
-    base = _ascii(spark, d).select("nr_registro", tok.alias("tok"))
+    base = _written(spark, d).select("nr_registro", tok.alias("tok"))
     return base.select("nr_registro", F.array_join(spans.placeholders_to_markers(F.col("tok")), " ").alias("texto_anonimizado"), F.size(F.filter("tok", lambda t: F.array_contains(holders, t))).alias("n_phi_regex"))
 
 
@@ -717,10 +720,10 @@ def q_comparison_table(spark, d):
     return t.select(F.col("tipo").alias("modelo"), "f1", "precision", "recall", "support").withColumn("lugar", F.row_number().over(Window.orderBy(F.desc_nulls_last("f1"), "modelo")))
 
 
-@query(f"""WITH {S.ASCII_NOTES}, b AS (SELECT nr_registro, 'rua' AS bloco FROM an WHERE regexp_matches(t, '(?i)\\b(rua|avenida|cep)\\b') UNION ALL SELECT nr_registro, 'documento' FROM an WHERE regexp_matches(t, '(?i)\\b(rg|cns|cnh)\\b') UNION ALL SELECT nr_registro, 'qualquer' FROM an),
+@query(f"""WITH {S.WRITTEN_NOTES}, b AS (SELECT nr_registro, 'rua' AS bloco FROM an WHERE regexp_matches(t, '(?i)\\b(rua|avenida|cep)\\b') UNION ALL SELECT nr_registro, 'documento' FROM an WHERE regexp_matches(t, '(?i)\\b(rg|cns|cnh)\\b') UNION ALL SELECT nr_registro, 'qualquer' FROM an),
   r AS (SELECT *, row_number() OVER (PARTITION BY bloco ORDER BY substr(md5('42|' || nr_registro), 1, 15), nr_registro) AS r FROM b) SELECT bloco, nr_registro FROM r WHERE r <= 200""")
 def q_extraction(spark, d):
-    a = _ascii(spark, d)
+    a = _written(spark, d)
     rules = {"rua": r"(?i)\b(rua|avenida|cep)\b", "documento": r"(?i)\b(rg|cns|cnh)\b"}
     blocks = a.select("nr_registro", F.lit("qualquer").alias("bloco"))
     for name, rx in rules.items():

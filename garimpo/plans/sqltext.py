@@ -11,14 +11,16 @@ def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def ascii_text(c: str) -> str:
-    return f"regexp_replace(strip_accents({c}), '[^\\x00-\\x7F]', ' ', 'g')"
+#: White space as Unicode has it; DuckDB's \\s is ASCII only.
+BLANKS = "\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+BLANKS_IN_LINE = BLANKS.replace("\\s", " \\t\\r\\f")
 
 
 def _sub(expr: str, pattern: str, to: str) -> str:
     for k in range(9, 0, -1):
         to = to.replace(f"${k}", f"\\{k}")
-    return f"regexp_replace({expr}, {quote(pattern)}, {quote(to)}, 'g')"
+    return f"regexp_replace({expr}, {quote(pattern.replace(chr(92) + 's', f'[{BLANKS}]'))}, {quote(to)}, 'g')"
 
 
 def rules(expr: str, which: list[tuple[str, str]]) -> str:
@@ -51,7 +53,7 @@ NOTES = """notes AS (
   UNION ALL
   SELECT nr_registro, cd_paciente, dt_atendimento, ds_parecer, ds_especialid_atendimento, ds_multi_empresa, 'parecer' FROM pareceres)"""
 
-ASCII_NOTES = f"{NOTES}, an AS (SELECT nr_registro, doc_type, {ascii_text('texto')} AS t FROM notes WHERE texto IS NOT NULL)"
+WRITTEN_NOTES = f"{NOTES}, an AS (SELECT nr_registro, doc_type, translate(texto, '０１２３４５６７８９', '0123456789') AS t FROM notes WHERE texto IS NOT NULL)"
 
 COUNTS = f"""{NOTES}, c AS (SELECT *,
   CASE WHEN texto IS NULL THEN 0 ELSE len(list_filter(string_split_regex(texto, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{1680}}\\x{{2028}}\\x{{2029}}\\x{{85}}\\x0B]+'), lambda x: x <> '')) END AS tok,
