@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import patterns as P
 from garimpo.functions.text import token_offsets, word_tokens
+from garimpo.sources.blocks import read_fields
 from garimpo.sources.rawload import MISSING
 
 SENTENCE = "doc_id bigint, doc_type string, tokens array<string>, labels array<string>"
@@ -16,16 +17,19 @@ def read_notes(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     """Delimited notes: ';', quotes, line ends inside quotes; all columns text, names lower-case.
 
     header: the columns of the file. Short rows are filled with null, rows with more fields
-    are left out, and the usual marks of a missing value become null. Quoted line ends keep
-    Spark from splitting a file, so at scale convert to Parquet once.
+    or broken quoting are left out, and the usual marks of a missing value become null.
+    Records are found by structural indexing (blocks.py), so large files are split.
     """
     names = [h.strip().lower() for h in header]
-    schema = ", ".join(f"`{n}` string" for n in [*names, "_extra"])
-    df = spark.read.csv(path, schema=schema, sep=";", header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
-    good = df.where(F.col("_extra").isNull())
+    good = read_fields(spark, path, names).where(F.col("campos").between(1, len(names)))
     return good.select(*[F.when(~F.col(n).isin(MISSING), F.col(n)).alias(n) for n in names])
 
 
+def write_notes(df: DataFrame, path: str) -> None:
+    """Delimited notes as read_notes() reads them: ';', every field quoted, quotes doubled."""
+    df.write.mode("overwrite").csv(path, sep=";", header=True, quoteAll=True, escape='"', emptyValue="")
+
+
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     """Labelled sentences, one JSON object a line."""
     return spark.read.schema(SENTENCE).json(path)

@@ -92,26 +92,48 @@ def index_records(data: np.ndarray, start: np.ndarray, end: np.ndarray, fields:
     return np.where(broken, -1, count), begins, finishes
 
 
+def split_fields(lines: pa.Array, fields: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """(fields of each record or -1 for broken quoting, columns): the first `fields` fields of all records, unquoted.
+
+    A field that a record lacks is null; of a record with broken quoting all are. Bytes are
+    gathered by position; of doubled quotes the second is left out. Null lines count as empty.
+    """
+    lines = lines.fill_null("")
+    n = len(lines)
+    bounds = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    sizes = np.diff(bounds)
+    data = np.zeros(int(sizes.sum()) + n, np.uint8)  # a zero byte ends every record
+    if sizes.sum():
+        data[np.arange(sizes.sum()) + np.repeat(np.arange(n), sizes)] = np.frombuffer(lines.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    start = np.cumsum(sizes + 1) - sizes - 1
+    count, begins, finishes = index_records(data, start, start + sizes, fields)
+    columns = []
+    for k in range(fields):
+        held = np.flatnonzero(count > k)
+        first, last = begins[k][held], finishes[k][held]
+        quoted = (last > first) & (data[np.minimum(first, max(len(data) - 1, 0))] == QUOTE) if len(held) else np.zeros(0, bool)
+        first, long = first + quoted, last - first - 2 * quoted
+        upto = np.cumsum(long)
+        row = np.repeat(np.arange(len(held)), long)
+        piece = data[np.arange(len(row)) - np.repeat(upto - long, long) + first[row]] if len(row) else np.empty(0, np.uint8)
+        marks = (piece == QUOTE) & quoted[row]
+        if marks.any():
+            rank = np.cumsum(marks)
+            rank -= np.concatenate([[0], rank])[(upto - long)[row]]  # quotes of the same field so far
+            kept = ~(marks & (rank % 2 == 0))
+            piece, long = piece[kept], np.bincount(row[kept], minlength=len(held))
+        offsets = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(held), pa.py_buffer(offsets.tobytes()), pa.py_buffer(piece.tobytes()))
+        at = np.zeros(n, np.int64)
+        at[held] = np.arange(len(held))
+        columns.append(texts.take(pa.array(at, mask=count <= k)))
+    return count, columns
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = [("" if x is None else x).encode("utf-8", "surrogatepass") for x in batch.column(2).to_pylist()]
-        data = np.frombuffer(b"\x00".join(lines) + b"\x00", dtype=np.uint8)
-        sizes = np.array([len(x) for x in lines], dtype=np.int64)
-        start = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(lines) else np.empty(0, np.int64)
-        count, begins, finishes = index_records(data, start, start + sizes, len(FIELDS))
-        values = []
-        for k in range(len(lines)):
-            if count[k] != len(FIELDS):
-                values.append(None)
-                continue
-            row = []
-            for f in range(len(FIELDS)):
-                raw = lines[k][begins[f, k] - start[k] : finishes[f, k] - start[k]]
-                row.append((raw[1:-1].replace(b'""', b'"') if raw[:1] == b'"' else raw).decode("utf-8", "surrogatepass"))
-            values.append(row)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(values, pa.list_(pa.string()))], names=["linha_id", "arquivo", "campos", "valores"]
-        )
+        count, columns = split_fields(batch.column(2), len(FIELDS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), *columns], names=["linha_id", "arquivo", "campos", *FIELDS])
 
 
 def attendance_time(c: Column) -> Column:
@@ -132,12 +154,12 @@ def parse_records(raw: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty result.
     """
     rows = raw.select(F.col("linha_id").cast("bigint").alias("linha_id"), F.col("arquivo").cast("string").alias("arquivo"), F.col("linha").cast("string").alias("linha"))
-    split = rows.mapInArrow(_split, "linha_id bigint, arquivo string, campos bigint, valores array<string>")
-    named = split.select("linha_id", "arquivo", "campos", *[F.get("valores", F.lit(k)).alias(f) for k, f in enumerate(FIELDS)])
+    named = rows.mapInArrow(_split, "linha_id bigint, arquivo string, campos bigint, " + ", ".join(f"{f} string" for f in FIELDS))
     number = F.col("cd_paciente").rlike(r"^[0-9]{1,12}$") & ~F.col("cd_paciente").rlike(r"^0+$")
     value = number & attendance_time(F.col("dt_atendimento")).isNotNull()
     reason = F.when(F.col("campos") < 0, "aspas").when(F.col("campos") != len(FIELDS), "colunas").when(~value, "valor")
-    return named.select("linha_id", "arquivo", reason.alias("motivo"), *FIELDS)
+    whole = [F.when(F.col("campos") == len(FIELDS), F.col(f)).alias(f) for f in FIELDS]
+    return named.select("linha_id", "arquivo", reason.alias("motivo"), *whole)
 
 
 # Texts that stand for a missing value in delimited files.
