@@ -114,12 +114,22 @@ def addresses(spans: DataFrame) -> DataFrame:
     return spans.where("tipo = 'ENDERECO'").select("sentenca_id", "inicio", "texto", marked.alias("marcado"), F.length("texto").alias("tamanho")).orderBy("marcado", "tamanho", "sentenca_id", "inicio")
 
 
+#: Two words that a full stop holds together, the second with a capital.
+GLUED_PARTS = r"^(\p{L}{2,})\.(\p{Lu}\p{Ll}+)$"
+
+
 def glued_tokens(gold: DataFrame) -> DataFrame:
     """Labelled tokens of the form Word.Word with both halves."""
-    t = gold.where((F.col("label") != "O") & F.col("token").rlike(r"^\p{L}{2,}\.\p{Lu}\p{Ll}+$"))
+    t = gold.where((F.col("label") != "O") & F.col("token").rlike(GLUED_PARTS))
     return t.select("sentenca_id", "posicao", "token", "label", F.substring_index("token", ".", 1).alias("prefixo"), F.substring_index("token", ".", -1).alias("sufixo"))
 
 
+def long_spans(spans: DataFrame, tipo: str, least: int = 5, most: int = 20) -> DataFrame:
+    """The first `most` spans of a type with at least `least` tokens, for reading."""
+    long = spans.where((F.col("tipo") == tipo) & (F.col("fim") - F.col("inicio") >= least))
+    return long.select("sentenca_id", "inicio", (F.col("fim") - F.col("inicio")).alias("tamanho"), "texto").orderBy("sentenca_id", "inicio").limit(most)
+
+
 def marked_context(gold: DataFrame, places: DataFrame, width: int = 4) -> DataFrame:
     """Text around given places (sentenca_id, posicao) with [token/label] where a label is not outside."""
     shown = F.when(F.col("label") == "O", F.col("token")).otherwise(F.concat(F.lit("["), "token", F.lit("/"), "label", F.lit("]")))

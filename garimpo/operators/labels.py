@@ -34,7 +34,8 @@ def latest_annotations(annotations: DataFrame) -> DataFrame:
     label are packed into one number, so the maximum is a hash aggregate with a map side.
     """
     names = F.array(*[F.lit(x) for x in LABELS])
-    code = F.coalesce(F.array_position(names, canonical_label(F.col("label"))), F.lit(0))
+    plain = F.array_position(names, F.col("label"))  # nearly all are spelled so and need no folding
+    code = F.coalesce(F.when(plain > 0, plain).otherwise(F.array_position(names, canonical_label(F.col("label")))), F.lit(0))
     packed = F.coalesce(F.unix_micros("atualizado_em"), F.lit(-(1 << 57))) * 32 + code
     last = annotations.select("sentenca_id", "anotador_id", "posicao", packed.alias("_p")).groupBy("sentenca_id", "anotador_id", "posicao").agg(F.max("_p").alias("_p"))
     coded = last.select("sentenca_id", "anotador_id", "posicao", F.pmod("_p", F.lit(32)).cast("int").alias("_c")).where("_c > 0")

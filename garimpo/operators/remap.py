@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,7 @@ def plan_labels(old: list[str], new: list[str], labels: list[str], precedents: d
             out += was
             continue
         known = (precedents or {}).get((tuple(old[a:b]), tuple(new[c:d])))
-        masked = any(t in P.PLACEHOLDERS for t in new[c:d])
+        masked = any(p in t for t in new[c:d] for p in P.PLACEHOLDERS)
         kinds = {x[2:] for x in was if x != "O"}
         if known is not None and len(known) == d - c:
             out += known
@@ -52,19 +54,121 @@ def _plain(token: str) -> bool:
     return digits in ("9999-99-99", "99:99", "9:99", "99:9", "9:9", "999.999.999-99")
 
 
-@F.pandas_udf(_PLAN)
-def plan_column(old: pd.Series, new: pd.Series, labels: pd.Series) -> pd.DataFrame:
-    done = [plan_labels(list(o), list(n), list(x)) if len(o) == len(x) else (False, "rotulos nao cobrem os tokens", None) for o, n, x in zip(old, new, labels)]
-    return pd.DataFrame(done, columns=["ok", "motivo", "labels"])
+def planner(precedents: dict[tuple, list[str]] | None = None) -> Callable[[Column, Column, Column], Column]:
+    """plan_labels() of columns (old tokens, new tokens, labels)."""
+
+    @F.pandas_udf(_PLAN)
+    def plan(old: pd.Series, new: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        done = [plan_labels(list(o), list(n), list(x), precedents) if len(o) == len(x) else (False, "rotulos nao cobrem os tokens", None) for o, n, x in zip(old, new, labels)]
+        return pd.DataFrame(done, columns=["ok", "motivo", "labels"])
+
+    return plan
 
 
 def remap_plan(labelled: DataFrame) -> DataFrame:
     """(sentenca_id, tokens, novos, ok, motivo, labels_novos) for sentences whose tokens change."""
     anew = labelled.withColumn("novos", reprocess(F.col("tokens"))).where(~F.col("novos").eqNullSafe(F.col("tokens")))
-    planned = anew.withColumn("_p", plan_column("tokens", "novos", "labels"))
+    planned = anew.withColumn("_p", planner()("tokens", "novos", "labels"))
     return planned.select("sentenca_id", "tokens", "novos", F.col("_p.ok").alias("ok"), F.col("_p.motivo").alias("motivo"), F.col("_p.labels").alias("labels_novos"))
 
 
+@dataclass
+class Remapped:
+    """Snapshots that replace the tables, and what was done."""
+
+    sentences: DataFrame
+    annotations: DataFrame
+    counters: DataFrame
+
+
+def changed_sentences(sentences: DataFrame) -> DataFrame:
+    """(sentenca_id, tokens, novos) of the sentences whose tokens change when processed anew."""
+    return sentences.where("tokens is not null").select("sentenca_id", "tokens", reprocess(F.col("tokens")).alias("novos")).where(~F.col("novos").eqNullSafe(F.col("tokens")))
+
+
+def _given(changed: DataFrame, annotations: DataFrame) -> DataFrame:
+    """changed with each of its annotators and their labels by position; cobre: they cover exactly the tokens."""
+    by = annotations.groupBy("sentenca_id", "anotador_id").agg(F.sort_array(F.collect_list(F.struct("posicao", "label"))).alias("_l"))
+    places = F.transform("_l", lambda x: x["posicao"].cast("int"))
+    cover = places.eqNullSafe(F.sequence(F.lit(0), F.size("tokens") - 1))
+    return changed.join(by, "sentenca_id").withColumn("cobre", F.when(F.size("tokens") > 0, cover).otherwise(F.size("_l") == 0))
+
+
+def plan_coverage(sentences: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(sentenca_id, anotador_id, cobre) of every annotator of a changed sentence: whether the labels cover its tokens, each once and no other."""
+    return _given(changed_sentences(sentences), annotations).select("sentenca_id", "anotador_id", "cobre")
+
+
+def remap_annotations(sentences: DataFrame, annotations: DataFrame, overrides: DataFrame | None = None, precedents: dict[tuple, list[str]] | None = None) -> Remapped:
+    """Sentences processed anew with the labels of every annotator carried over.
+
+    annotations: latest rows (sentenca_id, anotador_id, posicao, label). overrides
+    (sentenca_id, labels) decide whole sentences for all their annotators if they have a
+    label for each new token. A sentence changes only if every one of its annotators has a
+    plan: where one fails or labels do not cover the tokens, the sentence and all its
+    annotations stay as they are. Both tables come out as whole snapshots, so whoever
+    writes them replaces all or nothing. counters: (situacao, sentencas) with situacao
+    igual (tokens unchanged), transferida, revisar (a plan failed) or erro (not covered).
+    """
+    changed = changed_sentences(sentences)
+    plans = _given(changed, annotations).withColumn("_old", F.transform("_l", lambda x: x["label"])).withColumn("_p", planner(precedents)("tokens", "novos", "_old"))
+    if overrides is not None:
+        whole = overrides.select("sentenca_id", F.col("labels").alias("_whole"))
+        plans = plans.join(whole, "sentenca_id", "left")
+    else:
+        plans = plans.withColumn("_whole", F.lit(None).cast("array<string>"))
+    fits = F.coalesce(F.size("_whole") == F.size("novos"), F.lit(False))
+    plans = plans.select(
+        "sentenca_id", "anotador_id", "novos", "cobre", (fits | F.col("_p.ok")).alias("_ok"), F.when(fits, F.col("_whole")).otherwise(F.col("_p.labels")).alias("_new")
+    )
+    judged = plans.groupBy("sentenca_id").agg(F.bool_and("cobre").alias("_cobre"), F.bool_and("_ok").alias("_ok"))
+    state = changed.select("sentenca_id", "novos").join(judged, "sentenca_id", "left")
+    state = state.withColumn("situacao", F.when(~F.coalesce("_cobre", F.lit(True)), "erro").when(~F.coalesce("_ok", F.lit(True)), "revisar").otherwise("transferida"))
+    done = state.where("situacao = 'transferida'").select("sentenca_id", "novos")
+    fresh = plans.drop("novos").join(done, "sentenca_id").select("sentenca_id", "anotador_id", F.posexplode("_new").alias("posicao", "label"))
+    kept = annotations.select("sentenca_id", "anotador_id", "posicao", "label").join(done, "sentenca_id", "left_anti")
+    others = [c for c in sentences.columns if c not in ("sentenca_id", "tokens")]
+    rebuilt = sentences.join(done, "sentenca_id", "left").select("sentenca_id", *others, F.coalesce("novos", "tokens").alias("tokens")).select(*sentences.columns)
+    counted = sentences.select("sentenca_id").join(state.select("sentenca_id", "situacao"), "sentenca_id", "left").groupBy(F.coalesce("situacao", F.lit("igual")).alias("situacao"))
+    return Remapped(rebuilt, kept.unionByName(fresh), counted.agg(F.count(F.lit(1)).alias("sentencas")))
+
+
+def review_report(labelled: DataFrame, width: int = 3, precedents: dict[tuple, list[str]] | None = None) -> DataFrame:
+    """(sentenca_id, ordem, trecho_antigo, trecho_novo, labels_envolvidos): the changed stretches that a person must decide, with width tokens around."""
+    kind = "array<struct<ordem:int,trecho_antigo:array<string>,trecho_novo:array<string>,labels_envolvidos:array<string>>>"
+
+    @F.pandas_udf(kind)
+    def stretches(old: pd.Series, new: pd.Series, labels: pd.Series) -> pd.Series:
+        out = []
+        for o, n, x in zip(old, new, labels):
+            o, n, x = list(o), list(n), list(x)
+            found = []
+            for op, a, b, c, d in difflib.SequenceMatcher(None, o, n, autojunk=False).get_opcodes():
+                if op != "equal" and not plan_labels(o[a:b], n[c:d], x[a:b], precedents)[0]:
+                    around = lambda t, i, j: t[max(0, i - width) : j + width]
+                    found.append({"ordem": len(found), "trecho_antigo": around(o, a, b), "trecho_novo": around(n, c, d), "labels_envolvidos": sorted({v for v in x[a:b] if v != "O"})})
+            out.append(found)
+        return pd.Series(out)
+
+    anew = labelled.withColumn("novos", reprocess(F.col("tokens"))).where(~F.col("novos").eqNullSafe(F.col("tokens")) & (F.size("tokens") == F.size("labels")))
+    return anew.select("sentenca_id", F.explode(stretches("tokens", "novos", "labels")).alias("_s")).select("sentenca_id", "_s.*")
+
+
+def relabel_continuing(gold: DataFrame, corrections: DataFrame) -> DataFrame:
+    """gold with corrections (sentenca_id, posicao, token, label_antigo, tipo_novo) where token and old label are as expected.
+
+    The new label is I- if the token before it is of the new type already, else B-.
+    """
+    from pyspark.sql import Window
+
+    before = F.lag("label").over(Window.partitionBy("sentenca_id").orderBy("posicao"))
+    fix = corrections.select("sentenca_id", "posicao", "token", F.col("label_antigo").alias("label"), F.col("tipo_novo").alias("_k"))
+    t = gold.withColumn("_b", before).join(fix, ["sentenca_id", "posicao", "token", "label"], "left")
+    goes_on = F.substring(F.coalesce("_b", F.lit("O")), 3, 100) == F.col("_k")
+    new = F.when(F.col("_k").isNull(), F.col("label")).otherwise(F.concat(F.when(goes_on, "I-").otherwise("B-"), "_k"))
+    return t.select(*[c for c in gold.columns if c != "label"], new.alias("label"))
+
+
 def length_changes(sentences: DataFrame) -> DataFrame:
     """(delta, sentencas): by how many tokens sentences grow or shrink when processed anew; unchanged ones as null."""
     new = reprocess(F.col("tokens"))

@@ -136,3 +136,10 @@ def split_check(labelled: DataFrame, split: DataFrame) -> DataFrame:
     each = labelled.select("sentenca_id", F.explode("tipos").alias("tipo")).join(split, "sentenca_id")
     wide = each.groupBy("tipo").pivot("particao", ["treino", "dev", "teste"]).agg(F.count(F.lit(1))).fillna(0, ["treino", "dev", "teste"])
     return wide.withColumn("ok", (F.col("treino") > 0) & (F.col("dev") > 0) & (F.col("teste") > 0))
+
+
+def split_token_check(gold: DataFrame, split: DataFrame) -> DataFrame:
+    """Per type: entity tokens of gold (sentenca_id, label) in treino, dev and teste; ok unless train has the type and dev or test lacks it."""
+    each = gold.where("label <> 'O'").select("sentenca_id", F.substring("label", 3, 100).alias("tipo")).join(split, "sentenca_id").where(F.col("particao").isin("treino", "dev", "teste"))
+    wide = each.groupBy("tipo").pivot("particao", ["treino", "dev", "teste"]).agg(F.count(F.lit(1))).fillna(0, ["treino", "dev", "teste"])
+    return wide.withColumn("ok", (F.col("treino") == 0) | ((F.col("dev") > 0) & (F.col("teste") > 0)))

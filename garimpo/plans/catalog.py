@@ -421,13 +421,6 @@ def q_token_f1(spark, d):
     return metrics.token_scores(_grid(spark, d))
 
 
-@query(f"""WITH a AS ({_BY_TYPE}), b AS ({_BY_TYPE.replace("'seqeval'", "'seqeval'").replace("grid AS (SELECT", "grid AS (SELECT")}), d AS (SELECT coalesce(a.tipo, b.tipo) AS tipo, round(coalesce(b.f1, 0) - coalesce(a.f1, 0), 4) AS delta FROM a FULL JOIN b ON a.tipo = b.tipo)
-  SELECT tipo, delta FROM d UNION ALL SELECT '_geral', round(avg(delta), 4) FROM d""")
-def q_delta_f1(spark, d):
-    by_type = metrics.entity_scores(*metrics.compared_spans(_grid(spark, d), "seqeval"), by_type=True)
-    return metrics.delta_f1(by_type, by_type)
-
-
 @query(f"""WITH p AS ({_BY_TYPE}), t AS (SELECT recall * support AS tp, support - recall * support AS fn, CASE WHEN precision > 0 THEN recall * support * (1 / precision - 1) ELSE 0 END AS fp FROM p), s AS (SELECT sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp FROM t),
   v AS (SELECT tp / (tp + fn) AS r, tp / (tp + fp) AS p FROM s) SELECT round(r, 4) AS coverage, round(p, 4) AS precision, round(2 * p * r / (p + r), 4) AS f1 FROM v""")
 def q_micro_report(spark, d):
@@ -555,11 +548,6 @@ def q_audit_addresses(spark, d):
     return audit.addresses(_gold_spans(spark, d))
 
 
-@query()
-def q_audit_glued(spark, d):
-    return audit.glued_tokens(_gold(spark, d))
-
-
 @query(f"""WITH {S.GOLD}, pl AS (SELECT sentenca_id, posicao AS p FROM gold WHERE label = 'B-DATA') SELECT pl.sentenca_id, p AS posicao, string_agg(CASE WHEN label = 'O' THEN token ELSE '[' || token || '/' || label || ']' END, ' ' ORDER BY g.posicao) AS contexto
   FROM pl JOIN gold g ON g.sentenca_id = pl.sentenca_id AND abs(g.posicao - p) <= 4 GROUP BY ALL""")
 def q_audit_context(spark, d):
@@ -664,11 +652,6 @@ def q_remap(spark, d):
     return remap.remap_plan(s)
 
 
-@query()
-def q_length_changes(spark, d):
-    return remap.length_changes(table(spark, d, "sentenca"))
-
-
 @query(f"""WITH {_STRICT}, f AS (SELECT sentenca_id, inicio, fim FROM sp WHERE tipo = 'HORA') SELECT g.sentenca_id, g.posicao, g.token, CASE WHEN f.inicio IS NOT NULL THEN 'O' ELSE label END AS label FROM gold g LEFT JOIN f ON f.sentenca_id = g.sentenca_id AND g.posicao >= inicio AND g.posicao < fim""")
 def q_erase_spans(spark, d):
     g = _gold(spark, d)

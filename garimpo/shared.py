@@ -14,9 +14,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the setting is absent."""
+    """The folder named by spark.checkpoint.dir; where the setting is absent, a temporary one in local mode and an error on a cluster, whose machines share no such folder."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="garimpo-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = f"file://{local}"
@@ -35,6 +37,11 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch(spark: SparkSession, hint: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_own(spark)}/{hint}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, hint: str = "t") -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
@@ -42,6 +49,6 @@ def materialize(df: DataFrame, hint: str = "t") -> DataFrame:
     the result survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{hint}-{uuid.uuid4().hex}"
+    path = scratch(spark, hint)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ def read_notes(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
 
 def write_notes(df: DataFrame, path: str) -> None:
     """Delimited notes as read_notes() reads them: ';', every field quoted, quotes doubled."""
-    df.write.mode("overwrite").csv(path, sep=";", header=True, quoteAll=True, escape='"', emptyValue="")
+    df.write.mode("overwrite").csv(path, sep=";", header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -84,13 +84,25 @@ def write_anonymised(df: DataFrame, path: str) -> None:
     df.select("texto_original", "texto_anonimizado", "n_phi_regex", "n_phi_ner").write.mode("overwrite").json(path)
 
 
-def read_metrics(spark: SparkSession, glob: str) -> DataFrame:
-    """(modelo, f1_micro, tipo, precision, recall, f1, support) of per-model metric files."""
+def write_metrics(per_type: DataFrame, folder: str) -> None:
+    """One JSON object per model: modelo, f1_micro, per_entity by type, from rows (modelo, f1_micro, tipo, precision, recall, f1, support)."""
+    entity = F.map_from_entries(F.sort_array(F.collect_list(F.struct("tipo", F.struct("precision", "recall", "f1", "support")))))  # at most one entry per type
+    per_type.groupBy("modelo", "f1_micro").agg(entity.alias("per_entity")).write.mode("overwrite").json(folder)
+
+
+def read_metrics(spark: SparkSession, glob: str, multiline: bool = True) -> DataFrame:
+    """(modelo, f1_micro, tipo, precision, recall, f1, support) of metric files, one object a file or (multiline=False) a line."""
     schema = "modelo string, f1_micro double, per_entity map<string,struct<precision:double,recall:double,f1:double,support:bigint>>"
-    df = spark.read.schema(schema).json(glob, multiLine=True)
+    df = spark.read.schema(schema).json(glob, multiLine=multiline)
     return df.select("modelo", "f1_micro", F.explode("per_entity").alias("tipo", "m")).select("modelo", "f1_micro", "tipo", "m.*")
 
 
+def consolidated(metrics: DataFrame, key: str) -> DataFrame:
+    """A table of measures as texts with 4 places, the best F1 first; missing values as '-'."""
+    numbers = [c for c, t in metrics.dtypes if t == "double"]
+    return metrics.select(key, *[F.coalesce(F.format_string("%.4f", c), F.lit("-")).alias(c) for c in numbers])
+
+
 def small_csv(df: DataFrame, path: str, most: int = 100_000) -> None:
     """A report table as one ';' file with byte order mark, written by the driver; refuses more than `most` rows."""
     rows = df.limit(most + 1).toPandas()
