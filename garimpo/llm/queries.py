@@ -43,11 +43,11 @@ def p2_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d)[1]
+    return _consensus(spark, d)[1].withColumn("peso", F.round("peso", 6))
 
 
 def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d)[2].where("a < b")
+    return _consensus(spark, d)[2].where("a < b").withColumns({c: F.round(c, 6) for c in ("acaso", "acordo")})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
