@@ -145,10 +145,20 @@ def completion(sentences: DataFrame, annotations: DataFrame) -> DataFrame:
     return p.groupBy("sessao_id").agg(F.count(F.lit(1)).alias("anotadores"), ((F.count(F.lit(1)) >= 2) & F.min(F.col("pendentes") == 0)).alias("concluida"))
 
 
-def previous_sentence(sentences: DataFrame) -> DataFrame:
-    """The sentence before each one in its session."""
-    w = Window.partitionBy("sessao_id").orderBy("ordem", "sentenca_id")
-    return sentences.select("sessao_id", "sentenca_id", F.lag("sentenca_id").over(w).alias("anterior"))
+def previous_sentence(sentences: DataFrame, width: int = 4096) -> DataFrame:
+    """(sessao_id, sentenca_id, anterior): the sentence before each in its session by ordem, then sentenca_id; null for the first.
+
+    Sessions are cut into stretches of width places, so no task sorts a whole one; the last
+    row of the stretch before stands in front of each (a table of one row per stretch).
+    """
+    place = F.floor(F.coalesce(F.col("ordem"), F.lit(-1)) / width)
+    cut = sentences.select("sessao_id", "sentenca_id", "ordem", place.alias("_k"))
+    ends = cut.groupBy("sessao_id", "_k").agg(F.max(F.struct("ordem", "sentenca_id"))["sentenca_id"].alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy("sessao_id").orderBy("_k"))
+    ends = ends.select(F.col("sessao_id").alias("_s"), F.col("_k").alias("_kk"), before.alias("_border"))
+    own = F.lag("sentenca_id").over(Window.partitionBy("sessao_id", "_k").orderBy("ordem", "sentenca_id"))
+    met = cut.withColumn("_own", own).join(ends, F.col("sessao_id").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_kk")), "left")
+    return met.select("sessao_id", "sentenca_id", F.coalesce("_own", "_border").alias("anterior"))
 
 
 def saved_labels(latest: DataFrame, annotator: int) -> DataFrame:

@@ -69,6 +69,12 @@ def stop_count(c: Column) -> Column:
     return F.coalesce(F.length(c) - F.length(F.translate(c, ".", "")) + 1, F.lit(0))
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """Notes with their counts (tok, car, sen) and kind (k) instead of their texts: what all tables of the profile are made of, from one reading."""
+    t = F.col("texto")
+    return df.select("doc_type", "cd_paciente", "hospital", "especialidade", "dt_atendimento", token_count(t).alias("tok"), char_count(t).alias("car"), stop_count(t).alias("sen"), text_type(t).alias("k"))
+
+
 def distribution(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """min, media (1 place), mediana, max, p25, p75 per group; exact quantiles, cut to whole numbers."""
     q = F.percentile("_v", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
@@ -78,7 +84,7 @@ def distribution(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
 
 def type_shares(df: DataFrame, by: list[str]) -> DataFrame:
     """Texts per kind and shares of both known kinds in per cent (1 place, of all texts)."""
-    kind = df.select(*by, text_type(F.col("texto")).alias("_k"))
+    kind = df.select(*by, (F.col("k") if "k" in df.columns else text_type(F.col("texto"))).alias("_k"))
     n = F.count(F.lit(1))
 
     def count(k: str) -> Column:
@@ -108,8 +114,7 @@ def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
 
 def table_one(df: DataFrame) -> DataFrame:
     """(caracteristica, prescricao, parecer): the comparison table of both corpora, one single-pass aggregate per corpus."""
-    tok, chars, stops, kind = token_count(F.col("texto")), char_count(F.col("texto")), stop_count(F.col("texto")), text_type(F.col("texto"))
-    base = df.select("doc_type", "cd_paciente", "hospital", tok.alias("tok"), chars.alias("car"), stops.alias("sen"), kind.alias("k"))
+    base = df if "k" in df.columns else measured(df)
     aggs = [F.count(F.lit(1)).cast("double").alias("registros"), F.countDistinct("cd_paciente").cast("double").alias("pacientes"), F.countDistinct("hospital").cast("double").alias("hospitais")]
     for c in ("tok", "car", "sen"):
         aggs += [F.round(F.avg(c), 1).alias(f"{c}_media"), F.percentile(c, F.lit(0.5)).alias(f"{c}_mediana"), F.min(c).cast("double").alias(f"{c}_min"), F.max(c).cast("double").alias(f"{c}_max")]

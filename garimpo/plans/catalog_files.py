@@ -13,6 +13,7 @@ from garimpo.functions import patterns as P
 from garimpo.operators import audit, metrics, remap, results, sampling, subwords
 from garimpo.operators.labels import LABELS
 from garimpo.plans import catalog as C
+from garimpo.plans import pipelines
 from garimpo.plans import sqltext as S
 from garimpo.session import table
 from garimpo.shared import scratch
@@ -371,6 +372,51 @@ def q_plan_coverage(spark, d):
     return remap.plan_coverage(table(spark, d, "sentenca"), C.labels.latest_annotations(table(spark, d, "anotacao_token")))
 
 
+_CLEAN = "regexp_replace(regexp_replace(list_aggregate(list_filter(string_split(nfc_normalize(replace(t, chr(9), ' ')), ''), lambda x: x = chr(10) OR NOT regexp_matches(x, '[\\p{Cc}\\p{Cf}\\p{Co}]')), 'string_agg', ''), ' +', ' ', 'g'), '(?m)^[" + S.BLANKS_IN_LINE + "]+|[" + S.BLANKS_IN_LINE + "]+$', '', 'g')"
+_NORMAL = f"{S.WRITTEN_NOTES}, cl AS (SELECT nr_registro, doc_type, coalesce({_CLEAN}, '') AS t FROM an), no AS (SELECT nr_registro, doc_type, {S.rules(S.rules('t', P.GLUE), S.MASKS)} AS t FROM cl)"
+
+
+def _plain_digits(spark, d) -> DataFrame:
+    return C._written(spark, d).withColumnRenamed("t", "texto")
+
+
+@query(f"WITH {_NORMAL} SELECT nr_registro, t AS texto FROM no")
+def q_normalize_written(spark, d):
+    return _plain_digits(spark, d).select("nr_registro", C.T.normalize(F.col("texto")).alias("texto"))
+
+
+_NORMAL_SENT = _NORMAL + C._SENT.removeprefix(S.WRITTEN_NOTES).replace("FROM an)", "FROM no)")
+
+
+@query(f"WITH {_NORMAL_SENT} SELECT nr_registro, doc_type, ordem, regexp_extract_all(sentenca, {S.quote(P.TOKEN)}) AS tokens FROM sent")
+def q_corpus_written(spark, d):
+    return C.corpus.note_tokens(_plain_digits(spark, d)).select("nr_registro", "doc_type", "ordem", "tokens")
+
+
+_HELD = ", ".join(S.quote(k) for k in P.PLACEHOLDERS)
+_SHOWN = " ".join(f"WHEN {S.quote(k)} THEN {S.quote(v)}" for k, v in P.PLACEHOLDERS.items())
+
+
+@query(f"""WITH {_NORMAL}, k AS (SELECT nr_registro, regexp_extract_all(t, {S.quote(P.TOKEN)}) AS w FROM no)
+  SELECT nr_registro, array_to_string(list_transform(w, lambda x: CASE x {_SHOWN} ELSE x END), ' ') AS texto_anonimizado, len(list_filter(w, lambda x: x IN ({_HELD})))::INT AS n_phi_regex, 0 AS n_phi_ner, len(list_filter(w, lambda x: x IN ({_HELD})))::INT AS n_phi_total FROM k""")
+def q_anonymize_written(spark, d):
+    return C.anonymize.anonymise(_plain_digits(spark, d)).select("nr_registro", "texto_anonimizado", "n_phi_regex", "n_phi_ner", "n_phi_total")
+
+
+@query(f"WITH {_LABELLED} SELECT count(*) AS sentencas, sum(len(tokens))::BIGINT AS tokens, sum(len(list_filter(labels, lambda x: x LIKE 'B-%')))::BIGINT AS entidades FROM lab")
+def q_sanity_counts(spark, d):
+    path = scratch(spark, "sanity")
+    files.write_conll(C._labelled_sentences(spark, d), path)
+    return pipelines.sanity_counts(spark, path)
+
+
+@query("SELECT doc_type, least(count(*), 400 // (SELECT count(DISTINCT doc_type) FROM sentenca))::BIGINT AS sentencas FROM sentenca WHERE doc_type IS NOT NULL GROUP BY 1")
+def q_annotation_sample(spark, d):
+    path = scratch(spark, "sample")
+    files.write_sentences(table(spark, d, "sentenca").where("size(tokens) > 0"), path)
+    return pipelines.annotation_sample(path, f"{path}-tool", spark, 400)
+
+
 @query()
 def q_remap_annotations(spark, d):
     """What processing anew does to the annotated sentences: how many are carried over, held back or unchanged."""

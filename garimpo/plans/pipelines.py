@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.functions import patterns as P
-from garimpo.operators import anonymize, audit, corpus, crf, labels, metrics, profile, sampling, spans
+from garimpo.operators import anonymize, audit, corpus, crf, labels, metrics, profile, results, sampling, spans
+from garimpo.shared import materialize
 from garimpo.sources import files
 
 
@@ -34,8 +35,8 @@ def preprocess(prescricoes: DataFrame, pareceres: DataFrame, folder: str, per_ty
 
 
 def explore(prescricoes: DataFrame, pareceres: DataFrame) -> dict[str, DataFrame]:
-    """The tables of the exploration page."""
-    n = profile.notes(prescricoes, pareceres)
+    """The tables of the exploration page. Texts are read once: their counts are written to the shared folder, and all tables come from these."""
+    n = materialize(profile.measured(profile.notes(prescricoes, pareceres)), "profile")
     by = ["doc_type"]
     return {
         "registros": profile.record_counts(n),
@@ -43,15 +44,67 @@ def explore(prescricoes: DataFrame, pareceres: DataFrame) -> dict[str, DataFrame
         "periodo": profile.period(n),
         "hospitais": profile.hospitals(n),
         "especialidades": profile.top_values(n, "especialidade"),
-        "tokens": profile.distribution(n, profile.token_count(F.col("texto")), by),
-        "caracteres": profile.distribution(n, profile.char_count(F.col("texto")), by),
-        "sentencas": profile.distribution(n, profile.stop_count(F.col("texto")), by),
+        "tokens": profile.distribution(n, F.col("tok"), by),
+        "caracteres": profile.distribution(n, F.col("car"), by),
+        "sentencas": profile.distribution(n, F.col("sen"), by),
         "tipos": profile.type_shares(n, by),
-        "histograma": profile.histogram(n, profile.token_count(F.col("texto"))),
+        "histograma": profile.histogram(n, F.col("tok")),
         "tabela1": profile.table_one(n),
     }
 
 
+def results_page(anonymisations: DataFrame, trainings: DataFrame, evaluations: DataFrame, path: str | None = None) -> DataFrame:
+    """The results view under template names; written as a report with 4 places if a path is given."""
+    view = results.for_templates(results.results_table(anonymisations, trainings, evaluations))
+    if path:
+        files.small_csv(files.consolidated(view.orderBy("lugar"), "Modelo"), path)
+    return view
+
+
+def reevaluate(predictions: dict[str, DataFrame], folder: str, report: str) -> DataFrame:
+    """Grids (sentenca_id, posicao, token, a1 = truth, a2 = prediction) of several models to one metrics file each, read back and consolidated.
+
+    Returns one row per model with coverage, precision and F1 over the contextual types,
+    rebuilt from the files; report gets them as text with 4 places.
+    """
+    spark = next(iter(predictions.values())).sparkSession
+    for name, grid in predictions.items():
+        both = metrics.compared_spans(grid, "seqeval")
+        micro = metrics.entity_scores(*both).select(F.lit(name).alias("modelo"), F.col("f1").alias("f1_micro"))
+        files.write_metrics(metrics.entity_scores(*both, by_type=True).crossJoin(F.broadcast(micro)), f"{folder}/{name}")  # one row
+    out = None
+    for name in predictions:
+        one = metrics.micro_from_report(files.read_metrics(spark, f"{folder}/{name}", multiline=False), P.CONTEXT_TYPES).select(F.lit(name).alias("modelo"), "*")
+        out = one if out is None else out.unionByName(one)
+    files.small_csv(files.consolidated(out.orderBy(F.desc_nulls_last("f1")), "modelo"), report)
+    return out
+
+
+def annotation_sample(corpus_path: str, to: str, spark: SparkSession, n: int) -> DataFrame:
+    """Of a corpus in JSON Lines an equal number of sentences per doc_type, written for the annotation tool as JSON Lines of text and an empty label list."""
+    numbered = files.read_sentences(spark, corpus_path).withColumn("_key", F.xxhash64("doc_id", F.array_join("tokens", " ")))
+    drawn = sampling.equal_allocation(numbered, "doc_type", "_key", n)
+    texts = drawn.select(F.array_join("tokens", " ").alias("text"), F.array().cast("array<array<string>>").alias("label"))
+    texts.write.mode("overwrite").json(to)
+    return drawn.groupBy("doc_type").agg(F.count(F.lit(1)).alias("sentencas"))
+
+
+def imported_annotations(export_path: str, to: str, spark: SparkSession) -> DataFrame:
+    """An annotation tool's export to CoNLL; returns entity tokens per type."""
+    done = files.import_spans(spark.read.schema("text string, label array<array<string>>").json(export_path))
+    files.write_conll(done, to)
+    each = done.select(F.explode("labels").alias("label"))
+    return audit.labels_of_entities(each)
+
+
+def sanity_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(sentencas, tokens, entidades) of a CoNLL file, read back after it was written."""
+    s = files.read_conll(spark, path)
+    return s.select(F.size("tokens").alias("n"), F.size(F.filter("labels", lambda x: x.startswith("B-"))).alias("b")).agg(
+        F.count(F.lit(1)).alias("sentencas"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("b"), F.lit(0)).alias("entidades")
+    )
+
+
 def gold_sentences(sentences: DataFrame, annotations: DataFrame, adjudications: DataFrame) -> DataFrame:
     """(sentenca_id, tokens, labels, tipos) of the annotated sentences after adjudication."""
     g = labels.gold(labels.token_grid(sentences, annotations), labels.adjudications(adjudications))
