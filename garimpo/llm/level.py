@@ -203,7 +203,7 @@ def portuguese(bag: DataFrame, bound: int = WORDS_BOUND) -> DataFrame:
     rates = sums.crossJoin(F.broadcast(totals)).select("word", *[F.log((F.col(c) + 0.1) / F.col(f"t_{c}")).alias(c) for c in LANGUAGES])  # one row of totals
     worth = rates.select("word", *[(F.col("pt") - F.col(c)).alias(c) for c in LANGUAGES[1:]])
     if worth.count() > bound:
-        long = bag.select("doc_id", "lang", "words", "counts", F.monotonically_increasing_id().alias("_row"))
+        long = materialize(bag.select("doc_id", "lang", "words", "counts", F.monotonically_increasing_id().alias("_row")), "numbered")
         scored = long.select("_row", F.explode("words").alias("word")).join(worth, "word").groupBy("_row").agg(*[F.sum(c).alias(c) for c in LANGUAGES[1:]])
         return long.join(scored.where("es > 0 and en > 0"), "_row", "left_semi").drop("_row")
     table = WordTable(worth.toPandas())

@@ -29,6 +29,8 @@ TYPES = ("PESSOA", "TELEFONE", "EMAIL", "DOCUMENTO", "ENDERECO")
 
 _NUMBER = re.compile(r"\d[\d()+ .\-]{5,}(?:\d|(?<=-)x\b|(?<=- )x\b)")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words of one name at most (a longer run is several findings, side by side), characters of an address before its @ (the standard's limit), and characters in which the words before a candidate are looked for.
+NAME_WORDS, LOCAL_PART, LEFT_CONTEXT = 9, 64, 40
 _STEP = re.compile(r"(?: ?\. ?| *- *| {1,3}|\n)")
 _BEFORE = re.compile(r"[^\W_]+|[^\w\s]")
 _SPLIT_LOCAL = re.compile(r"[a-z0-9]+(?:\s*[._%+\-]\s*[a-z0-9]+)*\s*$")
@@ -111,7 +113,7 @@ def build_machine(names: Iterable[str]) -> ahocorasick.Automaton:
 
 def _left(text: str, at: int, n: int = 2) -> tuple[str, ...]:
     """The last n words or signs before at, nearest first; digits read as 9."""
-    near = _BEFORE.findall(text, max(0, at - 40), at)[: -n - 1 : -1]
+    near = _BEFORE.findall(text, max(0, at - LEFT_CONTEXT), at)[: -n - 1 : -1]
     return (*("9" * min(len(w), 5) if w[0].isdigit() else w for w in near), *["^"] * (n - len(near)))
 
 
@@ -130,7 +132,7 @@ def person_span(text: str, start: int, names: frozenset[str], anywhere: bool) ->
         return None
     words, end = [m.group()], m.end()
     last_good = end
-    while len(words) < 9:
+    while len(words) < NAME_WORDS:
         step = _STEP.match(text, end)
         if not step:
             break
@@ -176,7 +178,7 @@ def candidates(text: str, machine: ahocorasick.Automaton, names: frozenset[str],
             m = _AT.search(text, max(0, start - 2), start + n + 2)
             if not m:
                 continue
-            local = _SPLIT_LOCAL.search(text[max(0, m.start() - 64) : m.start()])
+            local = _SPLIT_LOCAL.search(text[max(0, m.start() - LOCAL_PART) : m.start()])
             domain = _DOMAIN.match(text, m.end())
             left = m.start() - (len(local.group()) if local else 0)
             right = domain.end() if domain else m.end()
