@@ -260,3 +260,10 @@ def test_crf_query_fits_on_the_whole_sample(spark, monkeypatch):
     catalog.QUERIES["q_crf_predict"](spark, d)
     annotated = catalog._labelled_sentences(spark, d).count()
     assert 400 < annotated < crf.SENTENCES and seen == {"n": annotated, "epochs": 12}
+
+
+def test_crf_sample_is_the_first_by_hash(spark):
+    df = spark.range(3000).select(F.col("id").alias("sentenca_id"), F.array(F.col("id").cast("string")).alias("tokens"), F.array(F.lit("O")).alias("labels"))
+    wanted = [r[0] for r in df.orderBy(F.md5(F.concat(F.lit("42|"), F.col("sentenca_id").cast("string")))).limit(400).select("tokens").collect()]
+    assert [t for t, _ in crf.training_sample(df, 400)] == wanted
+    assert len(crf.training_sample(df, 5000)) == 3000 and crf.training_sample(df.where("false")) == []

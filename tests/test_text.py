@@ -63,3 +63,25 @@ def test_offsets(spark):
     df = spark.createDataFrame([("ab cd ab", ["ab", "cd", "ab"])], "t string, k array<string>")
     got = df.select(T.token_offsets(F.col("t"), F.col("k"))).first()[0]
     assert [(x["ini"], x["fim"]) for x in got] == [(0, 2), (3, 5), (6, 8)]
+
+
+@pytest.mark.parametrize(
+    ("step", "before", "after"),
+    [
+        (T.mask_hours, "visto às 10 horas", "visto __HORA__"),
+        (T.mask_hours, "visto ÀS 1 hora; há 3 horas", "visto __HORA__; há 3 horas"),
+        (T.mask_hours, "às 07:30 e 9h e １２:３０", "às __HORA__ e __HORA__ e __HORA__"),
+        (T.mask_ceps, "ENDEREÇO: 29101234, endereco 29101234", "ENDEREÇO: __CEP__, endereco __CEP__"),
+        (T.mask_phones, "MÃE 27 - 9.9999 - 1234", "MÃE __TELEFONE__"),
+        (T.mask_phones, "CÔNJUGE 27 - 99.999 - 1234; x998387639", "CÔNJUGE __TELEFONE__; x998387639"),
+        (T.mask_phones, "RG : 998387639 e (２７) 99999-9999", "RG : 998387639 e __TELEFONE__"),
+        (T.mask_dates, "17 de março de 2016 e ação17/05/2017", "__DATA__ e ação17/05/2017"),
+        (T.mask_dates, "５/10/2020, 13 / 07 / 22", "__DATA__, __DATA__"),
+        (T.mask_cpf, "CPF: 12345678900, é123.456.789-00", "CPF: __CPF__, é123.456.789-00"),
+        (T.split_glued, "medicação15ÚLTIMA vez", "medicação 15 ÚLTIMA vez"),
+        (T.split_glued, "internação.CONDUTA e não.Está", "internação. CONDUTA e não. Está"),
+        (T.split_glued, "ÓBITO.CONDUÇÃO; água,sal", "ÓBITO. CONDUÇÃO; água, sal"),
+    ],
+)
+def test_rules_on_accents_and_wide_digits(spark, step, before, after):
+    assert spark.createDataFrame([(before,)], "t string").select(step(F.col("t"))).first()[0] == after
