@@ -113,9 +113,9 @@ def q_metrics_files(spark, d):
 
 @query(f"WITH p AS ({C._BY_TYPE}) SELECT tipo, " + ", ".join(f"printf('%.4f', {c}) AS {c}" for c in ("precision", "recall", "f1")) + " FROM p")
 def q_metrics_csv(spark, d):
-    path = scratch(spark, "report").removeprefix("file://")
-    files.small_csv(files.consolidated(C.q_entity_f1_by_type(spark, d), "tipo"), f"{path}.csv") if path.startswith("/") else None
-    return spark.read.csv(f"file://{path}.csv", sep=";", header=True, schema="tipo string, precision string, recall string, f1 string")
+    path = scratch(spark, "report").removeprefix("file://") + ".csv"  # the driver writes it: the shared folder must be one of its file system
+    files.small_csv(files.consolidated(C.q_entity_f1_by_type(spark, d), "tipo"), path)
+    return spark.read.csv(f"file://{path}", sep=";", header=True, schema="tipo string, precision string, recall string, f1 string")
 
 
 @query(f"WITH {S.COUNTS} SELECT doc_type, count(*) AS textos, min(tok)::BIGINT AS menor, max(tok)::BIGINT AS maior FROM c GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,7 @@ def small_csv(df: DataFrame, path: str, most: int = 100_000) -> None:
     rows = df.limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write it with Spark")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     rows.to_csv(path, sep=";", index=False, encoding="utf-8-sig")
 
 
