@@ -26,6 +26,22 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(rank).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def _packed(annotations: DataFrame) -> DataFrame:
+    """(sentenca_id, anotador_id, posicao, _p): time and label of each annotation in one number, label null or unknown as 0."""
+    names = F.array(*[F.lit(x) for x in LABELS])
+    plain = F.array_position(names, F.col("label"))  # nearly all are spelled so and need no folding
+    code = F.coalesce(F.when(plain > 0, plain).otherwise(F.array_position(names, canonical_label(F.col("label")))), F.lit(0))
+    packed = F.coalesce(F.unix_micros("atualizado_em"), F.lit(-(1 << 57))) * 32 + code
+    return annotations.select("sentenca_id", "anotador_id", "posicao", packed.alias("_p"))
+
+
+def _latest(packed: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in LABELS])
+    last = packed.groupBy("sentenca_id", "anotador_id", "posicao").agg(F.max("_p").alias("_p"))
+    coded = last.select("sentenca_id", "anotador_id", "posicao", F.pmod("_p", F.lit(32)).cast("int").alias("_c")).where("_c > 0")
+    return coded.select("sentenca_id", "anotador_id", "posicao", F.element_at(names, F.col("_c")).alias("label"))
+
+
 def latest_annotations(annotations: DataFrame) -> DataFrame:
     """One row per (sentenca_id, anotador_id, posicao) with its canonical label.
 
@@ -33,13 +49,7 @@ def latest_annotations(annotations: DataFrame) -> DataFrame:
     label of LABELS); keys whose last label is null or none of LABELS are left out. Time and
     label are packed into one number, so the maximum is a hash aggregate with a map side.
     """
-    names = F.array(*[F.lit(x) for x in LABELS])
-    plain = F.array_position(names, F.col("label"))  # nearly all are spelled so and need no folding
-    code = F.coalesce(F.when(plain > 0, plain).otherwise(F.array_position(names, canonical_label(F.col("label")))), F.lit(0))
-    packed = F.coalesce(F.unix_micros("atualizado_em"), F.lit(-(1 << 57))) * 32 + code
-    last = annotations.select("sentenca_id", "anotador_id", "posicao", packed.alias("_p")).groupBy("sentenca_id", "anotador_id", "posicao").agg(F.max("_p").alias("_p"))
-    coded = last.select("sentenca_id", "anotador_id", "posicao", F.pmod("_p", F.lit(32)).cast("int").alias("_c")).where("_c > 0")
-    return coded.select("sentenca_id", "anotador_id", "posicao", F.element_at(names, F.col("_c")).alias("label"))
+    return _latest(_packed(annotations))
 
 
 def token_grid(sentences: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -118,6 +128,31 @@ def gold(grid: DataFrame, decisions: DataFrame) -> DataFrame:
     return grid.join(final, ["sentenca_id", "posicao"], "left").select("sentenca_id", "sessao_id", "posicao", "token", F.coalesce("_decided", "a1", F.lit(OUTSIDE)).alias("label"))
 
 
+def gold_types(sentences: DataFrame, annotations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(sentenca_id, tipos): of each annotated sentence the types of its gold() labels, each once and in order.
+
+    As gold() of token_grid() grouped by sentence, but of a sentence only its number of
+    tokens is needed, and the annotations are exchanged once, by sentence: few of them are
+    older rows of their key, so a map side would exchange nearly all of them and once more.
+    """
+    cells = _latest(_packed(annotations).repartition("sentenca_id"))
+    entity = F.when(F.col("label") != OUTSIDE, F.struct("anotador_id", "posicao", "label"))
+    given = cells.groupBy("sentenca_id").agg(F.min("anotador_id").alias("_first"), F.collect_list(entity).alias("_v"))
+    decided = decisions.where("posicao is not null and label is not null").groupBy("sentenca_id").agg(F.collect_list(F.struct("posicao", "label")).alias("_d"))
+    lengths = sentences.select("sentenca_id", F.size("tokens").alias("_n")).where("_n > 0").groupBy("sentenca_id").agg(F.max("_n").alias("_n"))
+    joined = lengths.join(given, "sentenca_id").join(decided, "sentenca_id", "left")
+    ours = F.coalesce("_d", F.array())
+    settled = F.transform(ours, lambda x: x["posicao"])
+
+    def inside(x: Column) -> Column:
+        return (x["posicao"] >= 0) & (x["posicao"] < F.col("_n"))
+
+    first = F.filter("_v", lambda x: (x["anotador_id"] == F.col("_first")) & inside(x) & ~F.array_contains(settled, x["posicao"]))
+    final = F.concat(F.transform(first, lambda x: x["label"]), F.transform(F.filter(ours, inside), lambda x: x["label"]))
+    types = F.transform(F.filter(final, lambda x: x != OUTSIDE), lambda x: F.substring(x, 3, 100))
+    return joined.select("sentenca_id", F.array_sort(F.array_distinct(types)).alias("tipos"))
+
+
 def pending(sentences: DataFrame, annotations: DataFrame, annotator: int) -> DataFrame:
     """Sentences that the annotator has not touched."""
     done = annotations.where(F.col("anotador_id") == annotator).select("sentenca_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from garimpo.functions import patterns as P
 from garimpo.functions.text import detected_types
 from garimpo.ranking import permuted_rank
+from garimpo.shared import materialize
 
 
 def shuffled(key: Column, seed: int = 42) -> Column:
@@ -110,19 +111,24 @@ def reserved_split(labelled: DataFrame, types: list[str] | None = None, least: i
     In the fixed random order, type by type, the first free sentences that hold the type go
     to dev, the next to test (at most types x least rows each, decided on the driver);
     of the free rest dev and test get share of it less what they reserved, train all else.
+    labelled is computed once and written to the shared folder.
     """
     types = types or P.ENTITY_TYPES
-    ordered = labelled.select("sentenca_id", "tipos", shuffled(F.col("sentenca_id"), seed).alias("_h"))
+    known = materialize(labelled.select("sentenca_id", "tipos"), "split")
     need = 2 * least * len(types)  # enough candidates of each type even if all others took theirs
+    each = known.select("sentenca_id", F.explode(F.array_intersect("tipos", F.array(*[F.lit(t) for t in types]))).alias("tipo"))
+    order = Window.partitionBy("tipo").orderBy(shuffled(F.col("sentenca_id"), seed), "sentenca_id")  # Spark keeps `need` rows of each type before it exchanges them
+    pools: dict[str, list] = {t: [] for t in types}
+    for r in each.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= need).orderBy("tipo", "_n").collect():
+        pools[r["tipo"]].append(r["sentenca_id"])
     taken: dict[int, str] = {}
     for t in types:
-        pool = [r[0] for r in ordered.where(F.array_contains("tipos", t)).orderBy("_h", "sentenca_id").limit(need).select("sentenca_id").collect()]
-        free = [i for i in pool if i not in taken]
+        free = [i for i in pools[t] if i not in taken]
         for k, i in enumerate(free[: 2 * least]):
             taken[i] = "dev" if k < least else "teste"
     spark = labelled.sparkSession
     reserved = spark.createDataFrame(list(taken.items()) or [(None, None)], "sentenca_id bigint, particao string").where("sentenca_id is not null")
-    free = ordered.join(reserved, "sentenca_id", "left_anti").select("sentenca_id", F.lit(0).alias("_g"))
+    free = known.join(reserved, "sentenca_id", "left_anti").select("sentenca_id", F.lit(0).alias("_g"))
     ranked = permuted_rank(free, ["_g"], _hash_order(F.col("sentenca_id"), seed), "_r")
     n = free.agg(F.count(F.lit(1)).alias("_n"))
     held = {p: sum(v == p for v in taken.values()) for p in ("dev", "teste")}

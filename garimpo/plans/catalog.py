@@ -14,6 +14,7 @@ from garimpo.functions.fold import strip_accents
 from garimpo.operators import anonymize, audit, corpus, labels, metrics, profile, remap, sampling, spans
 from garimpo.plans import sqltext as S
 from garimpo.session import table
+from garimpo.shared import materialize
 from garimpo.sources import rawload
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -622,7 +623,7 @@ def q_learning_curve(spark, d):
 
 
 def _labelled(spark, d) -> DataFrame:
-    return _gold(spark, d).groupBy("sentenca_id").agg(F.array_sort(F.collect_set(F.when(F.col("label") != "O", F.substring("label", 3, 100)))).alias("tipos"))
+    return labels.gold_types(table(spark, d, "sentenca"), table(spark, d, "anotacao_token"), labels.adjudications(table(spark, d, "adjudicacao_token")))
 
 
 @query()
@@ -632,7 +633,7 @@ def q_split(spark, d):
 
 @query()
 def q_split_check(spark, d):
-    x = _labelled(spark, d)
+    x = materialize(_labelled(spark, d), "labelled")
     return sampling.split_check(x, sampling.reserved_split(x))
 
 

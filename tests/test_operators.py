@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from garimpo.operators import anonymize, audit, crf, labels, metrics, profile, remap, sampling, spans
+from garimpo.plans import catalog
 from garimpo.ranking import permuted_rank
 from garimpo.sources import files, rawload
 
@@ -88,6 +89,32 @@ def test_reserved_split(spark):
     assert sampling.split_check(df, got).where("dev = 0 or teste = 0").count() == 0
 
 
+def test_gold_types(spark):
+    random.seed(3)
+    names = ["O", "O", "B-PESSOA", "I-PESSOA", "b-data", "B-HORA", "zzz", None]
+    n = [random.choice([None, 0, 1, 2, 3]) for _ in range(120)]
+    sentences = spark.createDataFrame([(i, 1, None if k is None else ["x"] * k) for i, k in enumerate(n)] + [(5, 1, ["x"] * 6)], "sentenca_id bigint, sessao_id bigint, tokens array<string>")
+    given = [(random.randrange(-1, 125), random.choice([None, 1, 2, 3]), random.randrange(-1, 5), random.choice(names), random.choice([None, *range(3)])) for _ in range(900)]
+    annotations = spark.createDataFrame(given, "sentenca_id bigint, anotador_id bigint, posicao int, label string, s int").withColumn("atualizado_em", F.timestamp_seconds("s")).drop("s")
+    chosen = [(random.randrange(0, 125), random.choice([None, 0, 1, 2, 7]), random.choice([*names, "X"]), s) for s in range(150)]
+    decided = labels.adjudications(spark.createDataFrame(chosen, "sentenca_id bigint, posicao int, label string, s int").withColumn("criado_em", F.timestamp_seconds("s")))
+    gold = labels.gold(labels.token_grid(sentences, annotations), decided)
+    want = gold.groupBy("sentenca_id").agg(F.array_sort(F.collect_set(F.when(F.col("label") != "O", F.substring("label", 3, 100)))).alias("tipos"))
+    got = rows(labels.gold_types(sentences, annotations, decided))
+    assert got == rows(want) and len(got) > 50 and sum(len(t) > 1 for _, t in got) > 5
+
+
+def test_split_check_reads_annotations_once(spark, tmp_path):
+    spark.createDataFrame([(i, 1, ["a", "b"]) for i in range(60)], "sentenca_id bigint, sessao_id bigint, tokens array<string>").write.parquet(f"{tmp_path}/sentenca.parquet")
+    t = F.timestamp_seconds(F.lit(1))
+    given = spark.createDataFrame([(i, a, p, "B-PESSOA" if i % 3 == p else "O") for i in range(60) for a in (1, 2) for p in (0, 1)], "sentenca_id bigint, anotador_id bigint, posicao int, label string")
+    given.withColumn("atualizado_em", t).write.parquet(f"{tmp_path}/anotacao_token.parquet")
+    spark.createDataFrame([(2, 1, "B-HORA")], "sentenca_id bigint, posicao int, label string").withColumn("criado_em", t).write.parquet(f"{tmp_path}/adjudicacao_token.parquet")
+    got = catalog.QUERIES["q_split_check"](spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if str(tmp_path) in f]
+    assert {r["tipo"]: r["treino"] + r["dev"] + r["teste"] for r in got.collect()} == {"PESSOA": 40, "HORA": 1}
+
+
 def test_anonymise(spark):
     df = spark.createDataFrame([("Ana ligou (27) 99999-9999",)], "texto string")
     anonymize.register_tagger("ana", lambda t: ["B-PESSOA" if x == "Ana" else "B-HORA" if x == "ligou" else "O" for x in t])
