@@ -1,5 +1,6 @@
 """Small cases of the core operators."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -89,6 +90,29 @@ def test_reserved_split(spark):
     assert sampling.split_check(df, got).where("dev = 0 or teste = 0").count() == 0
 
 
+def test_reserved_split_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    data = [(i, [t for t in ("PESSOA", "DATA", "XYZ") if (i * 7919) % k == 0] or None) for i in range(200) for k in [3 + i % 5]]
+    df = spark.createDataFrame(data, "sentenca_id bigint, tipos array<string>").mapInArrow(passed, "sentenca_id bigint, tipos array<string>")
+    got = dict(map(tuple, sampling.reserved_split(df, ["PESSOA", "DATA"], least=2).collect()))
+    assert seen.value == 200 and len(got) == 200
+    h = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
+    want = {}
+    for t in ("PESSOA", "DATA"):
+        for k, i in enumerate([i for i in sorted(range(200), key=h) if t in (data[i][1] or []) and i not in want][:4]):
+            want[i] = "dev" if k < 2 else "teste"
+    rest = [i for i in sorted(range(200), key=h) if i not in want]
+    each = round(0.15 * len(rest)) - 4
+    want |= {i: "dev" if k < each else "teste" if k < 2 * each else "treino" for k, i in enumerate(rest)}
+    assert got == want
+
+
 def test_gold_types(spark):
     random.seed(3)
     names = ["O", "O", "B-PESSOA", "I-PESSOA", "b-data", "B-HORA", "zzz", None]
