@@ -35,9 +35,11 @@ def _packed(annotations: DataFrame) -> DataFrame:
     return annotations.select("sentenca_id", "anotador_id", "posicao", packed.alias("_p"))
 
 
-def _latest(packed: DataFrame) -> DataFrame:
+def _latest(packed: DataFrame, in_order: bool = False) -> DataFrame:
+    """in_order: by a sort that can spill and one row at a time (as Spark takes the maximum of a struct), not by hash maps of all keys of a task."""
     names = F.array(*[F.lit(x) for x in LABELS])
-    last = packed.groupBy("sentenca_id", "anotador_id", "posicao").agg(F.max("_p").alias("_p"))
+    top = F.max(F.struct("_p"))["_p"] if in_order else F.max("_p")
+    last = packed.groupBy("sentenca_id", "anotador_id", "posicao").agg(top.alias("_p"))
     coded = last.select("sentenca_id", "anotador_id", "posicao", F.pmod("_p", F.lit(32)).cast("int").alias("_c")).where("_c > 0")
     return coded.select("sentenca_id", "anotador_id", "posicao", F.element_at(names, F.col("_c")).alias("label"))
 
@@ -134,10 +136,14 @@ def gold_types(sentences: DataFrame, annotations: DataFrame, decisions: DataFram
     As gold() of token_grid() grouped by sentence, but of a sentence only its number of
     tokens is needed, and the annotations are exchanged once, by sentence: few of them are
     older rows of their key, so a map side would exchange nearly all of them and once more.
+    Most cells are outside; one of them stands for all of its annotator before the lists are
+    gathered, so that a task holds little besides its sort.
     """
-    cells = _latest(_packed(annotations).repartition("sentenca_id"))
-    entity = F.when(F.col("label") != OUTSIDE, F.struct("anotador_id", "posicao", "label"))
-    given = cells.groupBy("sentenca_id").agg(F.min("anotador_id").alias("_first"), F.collect_list(entity).alias("_v"))
+    cells = _latest(_packed(annotations).repartition("sentenca_id"), in_order=True)
+    named = F.col("label") != OUTSIDE
+    few = cells.select("sentenca_id", "anotador_id", F.when(named, F.col("posicao")).alias("posicao"), "label", named.alias("_e")).distinct()
+    entity = F.when(F.col("_e"), F.struct("anotador_id", "posicao", "label"))
+    given = few.groupBy("sentenca_id").agg(F.min("anotador_id").alias("_first"), F.collect_list(entity).alias("_v"))
     decided = decisions.where("posicao is not null and label is not null").groupBy("sentenca_id").agg(F.collect_list(F.struct("posicao", "label")).alias("_d"))
     lengths = sentences.select("sentenca_id", F.size("tokens").alias("_n")).where("_n > 0").groupBy("sentenca_id").agg(F.max("_n").alias("_n"))
     joined = lengths.join(given, "sentenca_id").join(decided, "sentenca_id", "left")

@@ -1,7 +1,11 @@
 """Small cases of the core operators."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -128,6 +132,25 @@ def test_gold_types(spark):
     assert got == rows(want) and len(got) > 50 and sum(len(t) > 1 for _, t in got) > 5
 
 
+_SMALL = """
+from pyspark.sql import SparkSession, functions as F
+from garimpo.operators import labels
+spark = SparkSession.builder.master("local[8]").config(map={"spark.driver.memory": "480m", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}).getOrCreate()
+n = 20_000
+sentences = spark.range(n).select(F.col("id").alias("sentenca_id"), F.array_repeat(F.lit("x"), 100).alias("tokens"))
+label = F.when(F.col("id") % 10 == 0, "B-PESSOA").otherwise("O")
+annotations = spark.range(n * 200).select((F.col("id") % n).alias("sentenca_id"), (F.col("id") % (2 * n) >= n).cast("bigint").alias("anotador_id"), F.floor(F.col("id") / (2 * n)).cast("int").alias("posicao"), label.alias("label"), F.timestamp_seconds(F.lit(1)).alias("atualizado_em"))
+decisions = spark.createDataFrame([(10, 0, "O")], "sentenca_id bigint, posicao int, label string")
+print("types", labels.gold_types(sentences, annotations, decisions).groupBy(F.array_join("tipos", " ").alias("t")).count().orderBy("t").collect())
+"""
+
+
+def test_gold_types_in_little_memory():
+    """Four million annotations in a heap that cannot hold their keys."""
+    run = subprocess.run([sys.executable, "-c", _SMALL], env={k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"PYTHONPATH": str(Path(labels.__file__).parents[2])}, capture_output=True, text=True, timeout=600)
+    assert "types [Row(t='', count=18000), Row(t='PESSOA', count=2000)]" in run.stdout, run.stderr[-2000:]
+
+
 def test_split_check_reads_annotations_once(spark, tmp_path):
     spark.createDataFrame([(i, 1, ["a", "b"]) for i in range(60)], "sentenca_id bigint, sessao_id bigint, tokens array<string>").write.parquet(f"{tmp_path}/sentenca.parquet")
     t = F.timestamp_seconds(F.lit(1))
